@@ -1,11 +1,12 @@
 """The answer of each route as one DataFrame.
 
-A route reads only the boards its answer needs; the other arguments are never evaluated.
+A route reads only the boards its answer needs.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +17,37 @@ from tallyboard.operators.shapes import tidy, union_all
 from tallyboard.plans.leadership import leadership_summary
 
 
-@dataclass(frozen=True)
+Loader = Callable[[], DataFrame]
+
+
 class Business:
-    """Clean tables and metadata of both boards, and the day they are judged on."""
+    """Clean tables and metadata of both boards, and the day they are judged on.
+
+    Tables are given as loaders and planned on first use, so that a question about one board
+    never touches the other.
+    """
+
+    def __init__(
+        self, as_of: AsOf, deals: Loader, work_orders: Loader, deals_meta: Loader, work_orders_meta: Loader
+    ) -> None:
+        self.as_of = as_of
+        self._loaders = (deals, work_orders, deals_meta, work_orders_meta)
+
+    @cached_property
+    def deals(self) -> DataFrame:
+        return self._loaders[0]()
+
+    @cached_property
+    def work_orders(self) -> DataFrame:
+        return self._loaders[1]()
+
+    @cached_property
+    def deals_meta(self) -> DataFrame:
+        return self._loaders[2]()
 
-    deals: DataFrame
-    work_orders: DataFrame
-    deals_meta: DataFrame
-    work_orders_meta: DataFrame
-    as_of: AsOf
+    @cached_property
+    def work_orders_meta(self) -> DataFrame:
+        return self._loaders[3]()
 
 
 def pipeline_summary(b: Business) -> DataFrame:

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.functions.text import strip
-
 AS_OF = "2000-07-27"
 
 # One message per index, over all routes, three ambiguous ones and a trap
@@ -39,145 +37,115 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _every(key: Column, n: int) -> Column:
-    return key % n == 0
-
-
-def _stripped(rows: DataFrame, n_fields: int) -> DataFrame:
-    """The raw rows as ``flatten_items`` would give them."""
-    fields = rows.columns[3:]
-    return rows.select(
-        "seq",
-        "id",
-        "name",
-        *[strip(F.col(f)).alias(f) for f in fields],
-        F.lit((1 << n_fields) - 1).cast("long").alias("titles_present"),
-    )
-
-
-def flat_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stripped(raw_deals(spark, sf_dir), 6)
-
-
-def flat_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stripped(raw_work_orders(spark, sf_dir), 5)
+# The rules of each text column over orders and customers; ``k`` is the order key.
+_DEAL_RULES = {
+    "sector": """CASE WHEN c_mktsegment = 'BUILDING' THEN 'construction' WHEN c_mktsegment = 'MACHINERY' THEN ' mining '
+        WHEN c_mktsegment = 'AUTOMOBILE' THEN 'POWER' WHEN c_mktsegment = 'FURNITURE' THEN 'agri'
+        WHEN k % 2 = 0 THEN '' END""",
+    "stage": """CASE WHEN k % 37 = 0 THEN NULL
+        WHEN o_orderstatus = 'F' AND left(o_orderpriority, 1) <= '3' THEN 'closed won'
+        WHEN o_orderstatus = 'F' THEN 'LOST DEAL'
+        WHEN left(o_orderpriority, 1) = '1' THEN 'f. negotiations' WHEN left(o_orderpriority, 1) = '2' THEN 'PROPOSAL'
+        WHEN left(o_orderpriority, 1) = '3' THEN 'lead' WHEN left(o_orderpriority, 1) = '4' THEN 'C. demo done'
+        ELSE 'm. projects on hold' END""",
+    "value": """CASE WHEN k % 41 = 0 THEN NULL WHEN k % 43 = 0 THEN '' WHEN k % 47 = 0 THEN 'tbd'
+        WHEN k % 3 = 0 THEN '$' || format_number(o_totalprice, 2)
+        ELSE '  ' || CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS STRING) || ' ' END""",
+    "probability": "get(array(NULL, '', '0', '0.45', '70%', '55', '100'), CAST(k % 7 AS INT))",
+    "expected_close_date": """CASE WHEN k % 29 = 0 THEN NULL WHEN k % 53 = 0 THEN 'soon'
+        WHEN k % 4 = 0 THEN CAST(day AS STRING) WHEN k % 4 = 1 THEN translate(CAST(day AS STRING), '-', '/')
+        WHEN k % 4 = 2 THEN date_format(day, 'dd-MM-yyyy') ELSE date_format(day, 'MM/dd/yyyy') END""",
+    "owner": "CASE WHEN k % 31 = 0 THEN '' ELSE 'Rep ' || c_nationkey END",
+}
+
+# The rules of each text column over line items, parts and suppliers.
+_ORDER_RULES = {
+    "status": """CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'COMPLETED' WHEN 'AO' THEN 'active' WHEN 'NF' THEN 'backlog'
+        WHEN 'NO' THEN 'Overdue' WHEN 'RF' THEN 'canceled' ELSE CASE l_partkey % 3
+        WHEN 1 THEN 'executed until current month' WHEN 2 THEN 'done' END END""",
+    "start_date": "CAST(date_sub(shipped, 30) AS STRING)",
+    "due_date": """CASE WHEN l_partkey % 17 = 0 THEN NULL WHEN l_partkey % 5 = 0 THEN date_format(shipped, 'dd-MM-yyyy')
+        ELSE CAST(shipped AS STRING) END""",
+    "sector": "get(array('MINING', 'renewables', 'Infra', 'agro', NULL), p_size % 5)",
+    "assigned_to": "CASE WHEN l_suppkey % 19 = 0 THEN '' ELSE s_name END",
+}
+
+
+def _written(rules: dict[str, str]) -> list[str]:
+    return [f"{rule} AS {name}" for name, rule in rules.items()]
 
 
 def raw_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deals as text from orders and customers; every twentieth order comes twice."""
-    orders = _table(spark, sf_dir, "orders")
-    customers = _table(spark, sf_dir, "customer")
-    key = F.col("o_orderkey")
-    price = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
-    urgency = F.substring("o_orderpriority", 1, 1)
-    by_segment = (
-        F.when(F.col("c_mktsegment") == "BUILDING", "construction")
-        .when(F.col("c_mktsegment") == "MACHINERY", " mining ")
-        .when(F.col("c_mktsegment") == "AUTOMOBILE", "POWER")
-        .when(F.col("c_mktsegment") == "FURNITURE", "agri")
-        .when(_every(key, 2), "")
-    )
-    stage = (
-        F.when(_every(key, 37), F.lit(None))
-        .when((F.col("o_orderstatus") == "F") & (urgency <= "3"), "closed won")
-        .when(F.col("o_orderstatus") == "F", "LOST DEAL")
-        .when(urgency == "1", "f. negotiations")
-        .when(urgency == "2", "PROPOSAL")
-        .when(urgency == "3", "lead")
-        .when(urgency == "4", "C. demo done")
-        .otherwise("m. projects on hold")
-    )
-    value = (
-        F.when(_every(key, 41), F.lit(None))
-        .when(_every(key, 43), "")
-        .when(_every(key, 47), "tbd")
-        .when(_every(key, 3), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)))
-        .otherwise(F.concat(F.lit("  "), price, F.lit(" ")))
-    )
-    probability = F.get(
-        F.array(*[F.lit(p).cast("string") for p in (None, "", "0", "0.45", "70%", "55", "100")]),
-        (key % 7).cast("int"),
-    )
-    day = F.col("o_orderdate").cast("timestamp_ntz")
-    close_date = (
-        F.when(_every(key, 29), F.lit(None))
-        .when(_every(key, 53), "soon")
-        .when(key % 4 == 0, F.date_format(day, "yyyy-MM-dd"))
-        .when(key % 4 == 1, F.date_format(day, "yyyy/MM/dd"))
-        .when(key % 4 == 2, F.date_format(day, "dd-MM-yyyy"))
-        .otherwise(F.date_format(day, "MM/dd/yyyy"))
-    )
-    rows = orders.join(customers, orders.o_custkey == customers.c_custkey).select(
-        (key * 2).alias("seq"),
-        key.cast("string").alias("id"),
-        F.concat(F.lit("Order "), key.cast("string")).alias("name"),
-        by_segment.alias("sector"),
-        stage.alias("stage"),
-        value.alias("value"),
-        probability.alias("probability"),
-        close_date.alias("expected_close_date"),
-        F.when(_every(key, 31), "").otherwise(F.concat(F.lit("Rep "), F.col("c_nationkey").cast("string"))).alias("owner"),
-    )
-    copies = F.when(F.col("seq") % 40 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return rows.withColumn("copy", F.explode(copies)).select(
-        (F.col("seq") + F.col("copy")).alias("seq"),
-        "id",
-        F.concat("name", F.when(F.col("copy") == 1, " (copy)").otherwise("")).alias("name"),
-        *rows.columns[3:],
-    )
+    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    return (
+        orders.join(customers, orders.o_custkey == customers.c_custkey)
+        .selectExpr(
+            "o_orderkey AS k", "CAST(o_orderdate AS DATE) AS day", "o_orderstatus", "o_orderpriority", "o_totalprice",
+            "c_mktsegment", "c_nationkey", "explode(IF(o_orderkey % 20 = 0, array(0, 1), array(0))) AS copy",
+        )
+        .selectExpr(
+            "k * 2 + copy AS seq", "CAST(k AS STRING) AS id",
+            "'Order ' || k || IF(copy = 1, ' (copy)', '') AS name", *_written(_DEAL_RULES),
+        )
+    )
 
 
 def raw_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work orders as text from line items, parts and suppliers; ids repeat naturally."""
-    lines = _table(spark, sf_dir, "lineitem")
-    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    suppliers = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    flags = F.concat("l_returnflag", "l_linestatus")
-    part = F.col("l_partkey")
-    status = (
-        F.when(flags == "AF", "COMPLETED")
-        .when(flags == "AO", "active")
-        .when(flags == "NF", "backlog")
-        .when(flags == "NO", "Overdue")
-        .when(flags == "RF", "canceled")
-        .when(part % 3 == 1, "executed until current month")
-        .when(part % 3 == 2, "done")
-    )
-    shipped = F.col("l_shipdate").cast("date")
-    due_date = (
-        F.when(_every(part, 17), F.lit(None))
-        .when(_every(part, 5), F.date_format(F.col("l_shipdate").cast("timestamp_ntz"), "dd-MM-yyyy"))
-        .otherwise(shipped.cast("string"))
-    )
-    sector = F.get(
-        F.array(*[F.lit(s).cast("string") for s in ("MINING", "renewables", "Infra", "agro", None)]),
-        F.col("p_size") % 5,
-    )
-    code = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    lines, parts = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "part")
+    suppliers = _table(spark, sf_dir, "supplier")
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
         .join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
-        .select(
-            F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"),
-            code.alias("id"),
-            F.concat(F.lit("WO "), code).alias("name"),
-            status.alias("status"),
-            F.date_sub(shipped, 30).cast("string").alias("start_date"),
-            due_date.alias("due_date"),
-            sector.alias("sector"),
-            F.when(_every(F.col("l_suppkey"), 19), "").otherwise(F.col("s_name")).alias("assigned_to"),
+        .withColumn("shipped", F.col("l_shipdate").cast("date"))
+        .selectExpr(
+            "struct(l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS seq",
+            "l_orderkey || '-' || l_linenumber AS id", "'WO ' || l_orderkey || '-' || l_linenumber AS name",
+            *_written(_ORDER_RULES),
         )
-    )
+    )
 
 
-def _cell(title: str | Column, text: Column) -> Column:
-    title = F.lit(title) if isinstance(title, str) else title
-    return F.struct(
-        F.concat(F.lit("col_"), F.replace(F.lower(title), F.lit(" "), F.lit("_"))).alias("id"),
-        title.alias("title"),
-        text.alias("text"),
-        F.when(text.isNotNull(), F.concat(F.lit('"'), text, F.lit('"'))).alias("value"),
-    )
+def flat_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw deals as ``flatten_items`` gives them: stripped, every field's title present."""
+    stripped = {"sector": F.trim("sector"), "value": F.trim("value")}
+    return raw_deals(spark, sf_dir).withColumns(stripped | {"titles_present": F.expr("63L")})
+
+
+def flat_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw work orders as ``flatten_items`` gives them; none of their text is padded."""
+    return raw_work_orders(spark, sf_dir).withColumn("titles_present", F.expr("31L"))
+
+
+# Cells of a deal, in order: when present, title, text.
+_DEAL_CELLS = (
+    ("k % 2 = 0", "Sector", "sector"),
+    ("k % 2 <> 0", "Sector/service", "sector"),
+    ("k % 13 = 0", "Stage", "'Lead'"),
+    ("true", " Stage", "stage"),
+    ("true", "Masked Deal value", "value"),
+    ("true", "Probability", "probability"),
+    ("true", "Expected Close Date", "expected_close_date"),
+    ("k % 11 = 0", "Owner", "'Former Rep'"),
+    ("true", "Owner code", "owner"),
+)
+_ORDER_CELLS = (
+    ("true", "Status", "status"),
+    ("true", "Work Order Date", "start_date"),
+    ("true", "Due Date", "due_date"),
+    ("true", "Sector/Service", "sector"),
+    ("true", "Assigned To", "assigned_to"),
+)
+
+
+def _cells(listed: tuple[tuple[str, str, str], ...]) -> str:
+    cells = [
+        f"IF({present}, named_struct('id', '{'col_' + title.lower().replace(' ', '_')}', 'title', '{title}', "
+        f"'text', {text}, 'value', '\"' || {text} || '\"'), NULL)"
+        for present, title, text in listed
+    ]
+    return f"array_compact(array({', '.join(cells)})) AS column_values"
 
 
 def deal_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,29 +154,12 @@ def deal_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     Sector alternates between two titles, every eleventh order carries an outdated owner under
     an earlier title, every thirteenth its stage twice, so that aliases and repeated titles count.
     """
-    key = F.floor(F.col("seq") / 2)
-    cells = F.array(
-        _cell(F.when(_every(key, 2), "Sector").otherwise("Sector/service"), F.col("sector")),
-        F.when(_every(key, 13), _cell("Stage", F.lit("Lead"))),
-        _cell(" Stage", F.col("stage")),
-        _cell("Masked Deal value", F.col("value")),
-        _cell("Probability", F.col("probability")),
-        _cell("Expected Close Date", F.col("expected_close_date")),
-        F.when(_every(key, 11), _cell("Owner", F.lit("Former Rep"))),
-        _cell("Owner code", F.col("owner")),
-    )
-    return raw_deals(spark, sf_dir).select("seq", "id", "name", F.array_compact(cells).alias("column_values"))
+    keyed = raw_deals(spark, sf_dir).withColumn("k", F.expr("seq div 2"))
+    return keyed.selectExpr("seq", "id", "name", _cells(_DEAL_CELLS))
 
 
 def work_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = F.array(
-        _cell("Status", F.col("status")),
-        _cell("Work Order Date", F.col("start_date")),
-        _cell("Due Date", F.col("due_date")),
-        _cell("Sector/Service", F.col("sector")),
-        _cell("Assigned To", F.col("assigned_to")),
-    )
-    return raw_work_orders(spark, sf_dir).select("seq", "id", "name", cells.alias("column_values"))
+    return raw_work_orders(spark, sf_dir).selectExpr("seq", "id", "name", _cells(_ORDER_CELLS))
 
 
 def land_pages(items: DataFrame, page: Column, path: str) -> None:
@@ -216,8 +167,13 @@ def land_pages(items: DataFrame, page: Column, path: str) -> None:
 
     ``page`` decides the size of a page and must keep it small.
     """
-    paged = items.groupBy(page.alias("page")).agg(F.sort_array(F.collect_list(F.struct(F.col("seq"), F.col("item")))).alias("found"))
-    listed = F.struct(F.lit(None).cast("string").alias("cursor"), F.transform("found", lambda r: r["item"]).alias("items"))
+    cells = F.transform(
+        "column_values",
+        lambda c: F.struct(c["id"].alias("id"), F.struct(c["title"].alias("title")).alias("column"), c["text"], c["value"]),
+    )
+    entry = F.struct("seq", F.struct("id", "name", cells.alias("column_values")).alias("item"))
+    paged = items.groupBy(page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias("found"))
+    listed = F.struct(F.lit(None).cast("string").alias("cursor"), F.col("found.item").alias("items"))
     first = F.col("page") == 0
     paged.select(
         "page",
