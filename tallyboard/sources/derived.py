@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyboard.sources.boards import spread
+
 AS_OF = "2000-07-27"
 
 # One message per index, over all routes, three ambiguous ones and a trap
@@ -77,7 +79,7 @@ def _written(rules: dict[str, str]) -> list[str]:
 
 def raw_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deals as text from orders and customers; every twentieth order comes twice."""
-    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    orders, customers = spread(_table(spark, sf_dir, "orders")), _table(spark, sf_dir, "customer")
     return (
         orders.join(customers, orders.o_custkey == customers.c_custkey)
         .selectExpr(
@@ -93,7 +95,7 @@ def raw_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work orders as text from line items, parts and suppliers; ids repeat naturally."""
-    lines, parts = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "part")
+    lines, parts = spread(_table(spark, sf_dir, "lineitem")), _table(spark, sf_dir, "part")
     suppliers = _table(spark, sf_dir, "supplier")
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
