@@ -18,6 +18,7 @@ from tallyboard.operators import both_boards, cleaning, deals, messages, quality
 from tallyboard.operators.filters import DashboardFilters, filter_deals, filter_work_orders
 from tallyboard.operators.shapes import union_all
 from tallyboard.plans import questions
+from tallyboard.plans.boards import staged_board
 from tallyboard.plans.dashboard import dashboard, dashboard_kpis, filtered_dashboard
 from tallyboard.schemas import DEALS_BOARD, WORK_ORDERS_BOARD
 from tallyboard.sources import boards, derived, sinks
@@ -65,14 +66,15 @@ def _business(spark: SparkSession, sf_dir: str) -> questions.Business:
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> questions.Business:
-    """Cleaned once and stored as Parquet, for reports that read the tables several times."""
-    plain = _business(spark, sf_dir)
+    """Both boards cleaned once and stored, for reports that read them several times."""
+    deals_board = staged_board(derived.flat_deals(spark, sf_dir), DEALS_BOARD)
+    orders_board = staged_board(derived.flat_work_orders(spark, sf_dir), WORK_ORDERS_BOARD)
     return questions.Business(
         AS_OF,
-        deals=lambda: sinks.stage_table(plain.deals, "deals"),
-        work_orders=lambda: sinks.stage_table(plain.work_orders, "work-orders"),
-        deals_meta=lambda: sinks.stage_table(plain.deals_meta, "deals-meta"),
-        work_orders_meta=lambda: sinks.stage_table(plain.work_orders_meta, "work-orders-meta"),
+        deals=lambda: deals_board.rows,
+        work_orders=lambda: orders_board.rows,
+        deals_meta=lambda: deals_board.meta,
+        work_orders_meta=lambda: orders_board.meta,
     )
 
 

@@ -103,11 +103,8 @@ def dedupe_items(flat: DataFrame) -> DataFrame:
     return flat.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
-def clean_rows(flat: DataFrame, spec: BoardSpec) -> DataFrame:
-    """Typed and normalised columns; every rule is a column expression, so unused ones are pruned.
-
-    Casing comes in a projection of its own, so that it is evaluated once per row.
-    """
+def _cased(flat: DataFrame, spec: BoardSpec, *others: str | Column) -> DataFrame:
+    """Text fields blanked to null and title-cased, in a projection of its own: once per row."""
 
     def cased(field: str) -> Column:
         if field not in spec.text:
@@ -115,18 +112,22 @@ def clean_rows(flat: DataFrame, spec: BoardSpec) -> DataFrame:
         filled = F.nullif(F.col(field), F.lit(""))
         return (title_case(filled) if field in SPELLINGS else filled).alias(field)
 
-    def cleaned(field: str) -> Column:
-        if field in spec.numeric:
-            return parse_number(F.col(field)).alias(field)
-        if field in spec.dates:
-            return parse_date(F.col(field)).alias(field)
-        if field in SPELLINGS:
-            return relabel(F.col(field), SPELLINGS[field], F.col(field)).alias(field)
-        return F.col(field)
+    return flat.select("id", "name", *[cased(f) for f in spec.fields], *others)
 
-    return flat.select("id", "name", *[cased(f) for f in spec.fields]).select(
-        "id", "name", *[cleaned(f) for f in spec.fields]
-    )
+
+def _cleaned(field: str, spec: BoardSpec) -> Column:
+    if field in spec.numeric:
+        return parse_number(F.col(field)).alias(field)
+    if field in spec.dates:
+        return parse_date(F.col(field)).alias(field)
+    if field in SPELLINGS:
+        return relabel(F.col(field), SPELLINGS[field], F.col(field)).alias(field)
+    return F.col(field)
+
+
+def clean_rows(flat: DataFrame, spec: BoardSpec) -> DataFrame:
+    """Typed and normalised columns; every rule is a column expression, so unused ones are pruned."""
+    return _cased(flat, spec).select("id", "name", *[_cleaned(f, spec) for f in spec.fields])
 
 
 def clean_flat(flat: DataFrame, spec: BoardSpec) -> DataFrame:
@@ -161,6 +162,37 @@ def board_meta(flat: DataFrame, spec: BoardSpec) -> DataFrame:
         F.min_by("missing", "seq").alias("missing"),
         F.min_by("titles_present", "seq").alias("titles_present"),
     )
+    return meta_of_marks(firsts, spec)
+
+
+def clean_marked(flat: DataFrame, spec: BoardSpec) -> DataFrame:
+    """Clean rows that also carry the marks META is counted from, all in one pass over the board.
+
+    For boards that are stored: ``copies``, ``seq``, ``missing`` and ``titles_present`` stand
+    beside the clean columns. The first row of an id is kept by an aggregate, which combines
+    copies before the shuffle, so an id with very many of them stays cheap.
+    """
+    whole = F.struct("name", *spec.fields, "titles_present")
+    firsts = flat.groupBy("id").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("seq").alias("seq"), F.min_by(whole, "seq").alias("kept")
+    )
+    marks = ["copies", "seq", "titles_present"]
+    parsed = {f"text_of_{field}": F.col(field) for field in spec.numeric + spec.dates}
+    typed = _cased(
+        firsts.select("id", "copies", "seq", "kept.*").withColumns(parsed), spec, *marks, *parsed
+    ).select("id", "name", *[_cleaned(f, spec) for f in spec.fields], *marks, *parsed)
+
+    def missing(field: str) -> Column:
+        if field in spec.dates:
+            return (F.col(f"text_of_{field}") != "") & F.col(field).isNull()
+        return F.col(f"text_of_{field}" if field in spec.numeric else field).isNull()
+
+    flags = _bits([missing(field) for field in spec.fields]).alias("missing")
+    return typed.select("id", "name", *spec.fields, *marks, flags)
+
+
+def meta_of_marks(firsts: DataFrame, spec: BoardSpec) -> DataFrame:
+    """META rows from one row per id with its copies, place, missing flags and titles."""
     missing_counts = [F.count_if(_bit(F.col("missing"), i)).alias(f"missing_{i}") for i in range(len(spec.fields))]
     totals = firsts.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("total_rows"),
