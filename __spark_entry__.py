@@ -138,13 +138,13 @@ def _weighing(c: Callable[[str], Column]) -> tuple[Column, Column, Column]:
 
 
 def _landed(spark: SparkSession, sf_dir: str, board: str) -> str:
-    """Land a board as result pages; a hundred ids to a page."""
+    """Land a board as result pages."""
     path = sinks.fresh_path(spark, f"pages-{board}")
     if board == "deals":
-        derived.land_pages(derived.deal_items(spark, sf_dir), F.floor(F.col("seq") / 200), path)
+        derived.land_pages(derived.deal_items(spark, sf_dir), F.col("seq"), path)
     else:
         order_key = F.substring_index("id", "-", 1).cast("long")
-        derived.land_pages(derived.work_order_items(spark, sf_dir), F.floor(order_key / 20), path)
+        derived.land_pages(derived.work_order_items(spark, sf_dir), order_key, path)
     return path
 
 

@@ -613,7 +613,7 @@ SELECT id, written, strftime(CASE
 FROM written"""
 
 ORACLES: dict[str, str] = {
-    "scan_board_pages": _raw("""SELECT (seq // 200) AS page, id, name,
+    "scan_board_pages": _raw("""SELECT seq AS page, id, name,
         7 - 1 + CASE WHEN seq // 2 % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN seq // 2 % 11 = 0 THEN 1 ELSE 0 END AS cells,
         'Owner code' AS title, owner AS text FROM raw_deals"""),
     "load_boards": _raw("""SELECT 'Deals' AS board, id, name FROM raw_deals

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyboard.functions.text import strip
+from tallyboard.functions.text import literal_map
 
 AsOf = str | dt.date
 
@@ -48,10 +48,6 @@ def as_of_date(as_of: AsOf) -> Column:
     return F.lit(str(as_of)).cast("date")
 
 
-def is_blank(text: Column) -> Column:
-    return text.isNull() | (strip(text) == "")
-
-
 def parse_date(text: Column) -> Column:
     """Stripped text to DATE: month first where both readings work, day first where only that does.
 
@@ -75,8 +71,9 @@ def _parse_rare_date(text: Column) -> Column:
         century = F.when(F.regexp_extract(text, _SHORT_YEAR, 4) >= SHORT_YEAR_PIVOT, "19").otherwise("20")
         return F.concat(century, F.regexp_replace(text, _SHORT_YEAR, order)).try_cast("date")
 
+    numbers = literal_map(_MONTH_NUMBERS)
+
     def named(pattern: str, year: int, name: int, day: int | None) -> Column:
-        numbers = F.create_map(*[F.lit(item) for pair in _MONTH_NUMBERS.items() for item in pair])
         month = F.try_element_at(numbers, F.lower(F.regexp_extract(text, pattern, name)))
         day_text = F.regexp_extract(text, pattern, day) if day else F.lit("1")
         dash = F.lit("-")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyboard.functions.text import literal_map
+
 # Closing probability in percent by sales stage.
 STAGE_PROBABILITIES = {
     "A. Lead Generated": 10.0,
@@ -48,8 +50,7 @@ def is_open(stage: Column) -> Column:
 
 def stage_probability(stage: Column, default: float = DEFAULT_PROBABILITY) -> Column:
     """Percent of a stage. The table is a 21-entry literal, so no join is planned."""
-    pairs = [F.lit(item) for pair in STAGE_PROBABILITIES.items() for item in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), stage), F.lit(default))
+    return F.coalesce(F.try_element_at(literal_map(STAGE_PROBABILITIES), stage), F.lit(default))
 
 
 def effective_probability(

@@ -55,10 +55,19 @@ def title_case(text: Column) -> Column:
     return F.when(text.rlike("^[A-Za-z ]*$"), F.initcap(text)).otherwise(by_run)
 
 
+def literal_map(entries: dict[str, str | float]) -> Column:
+    """A constant map, folded into the plan as one literal."""
+
+    def literal(value: str | float) -> str:
+        return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else f"{value}D"
+
+    return F.expr("map(" + ", ".join(f"{literal(k)}, {literal(v)}" for k, v in entries.items()) + ")")
+
+
 def relabel(text: Column, spellings: dict[str, tuple[str, ...]], otherwise: Column) -> Column:
     """The label whose spellings include ``text`` in any casing, else ``otherwise``."""
-    pairs = [F.lit(item) for label, variants in spellings.items() for v in variants for item in (v, label)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(text)), otherwise)
+    labels = literal_map({variant: label for label, variants in spellings.items() for variant in variants})
+    return F.coalesce(F.try_element_at(labels, F.lower(text)), otherwise)
 
 
 def clean_sector(text: Column) -> Column:

@@ -39,8 +39,8 @@ class CleanBoard(NamedTuple):
 
 def _bits(flags: list[Column]) -> Column:
     """Flags packed into one LONG, first flag in the lowest bit; null flags count as false."""
-    packed = [F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, flag in enumerate(flags)]
-    return reduce(lambda a, b: a.bitwiseOR(b), packed)
+    packed = [F.when(flag, 1 << i).otherwise(0) for i, flag in enumerate(flags)]
+    return reduce(lambda a, b: a.bitwiseOR(b), packed).cast("long")
 
 
 def _bit(mask: Column, position: int) -> Column:
@@ -201,23 +201,19 @@ def meta_of_marks(firsts: DataFrame, spec: BoardSpec) -> DataFrame:
         *missing_counts,
     )
 
-    def row(metric: str, field: str | None, count: Column) -> Column:
-        return F.struct(
-            F.lit(spec.board).alias("board"),
-            F.lit(metric).alias("metric"),
-            F.lit(field).cast("string").alias("field"),
-            count.cast("long").alias("count"),
+    def row(metric: str, field: str | None, count: str) -> str:
+        place = f"'{field}'" if field else "CAST(NULL AS STRING)"
+        return (
+            f"named_struct('board', '{spec.board}', 'metric', '{metric}', 'field', {place}, "
+            f"'count', CAST({count} AS BIGINT))"
         )
 
-    rows = [
-        row("total_rows", None, F.col("total_rows")),
-        row("dropped_rows", None, F.col("total_rows") - F.col("kept_rows")),
-    ]
+    rows = [row("total_rows", None, "total_rows"), row("dropped_rows", None, "total_rows - kept_rows")]
     for i, field in enumerate(spec.fields):
-        rows.append(row("missing_field", field, F.col(f"missing_{i}")))
-        rows.append(row("missing_column", field, F.when(_bit(F.col("titles_present"), i), 0).otherwise(1)))
-    return totals.select(F.inline(F.array(*rows))).filter(
-        (F.col("count") > 0) | F.col("metric").isin("total_rows", "dropped_rows")
+        rows.append(row("missing_field", field, f"missing_{i}"))
+        rows.append(row("missing_column", field, f"IF(titles_present & {1 << i} = 0, 1, 0)"))
+    return totals.selectExpr(f"inline(array({', '.join(rows)}))").filter(
+        "count > 0 OR metric IN ('total_rows', 'dropped_rows')"
     )
 
 

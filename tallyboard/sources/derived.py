@@ -165,25 +165,23 @@ def work_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def land_pages(items: DataFrame, page: Column, path: str) -> None:
-    """Write items as result pages: page 0 in the shape of a first page, the rest as later ones.
+    """Write items as result pages of one item, numbered by ``page``.
 
-    ``page`` decides the size of a page and must keep it small.
+    Page 0 has the shape of a first page, the rest that of later ones. Nothing is grouped, so the
+    keys of the items may be as uneven as they like.
     """
     cells = F.transform(
         "column_values",
         lambda c: F.struct(c["id"].alias("id"), F.struct(c["title"].alias("title")).alias("column"), c["text"], c["value"]),
     )
-    entry = F.struct("seq", F.struct("id", "name", cells.alias("column_values")).alias("item"))
-    paged = items.groupBy(page.alias("page")).agg(F.sort_array(F.collect_list(entry)).alias("found"))
-    listed = F.struct(F.lit(None).cast("string").alias("cursor"), F.col("found.item").alias("items"))
-    first = F.col("page") == 0
-    paged.select(
-        "page",
-        F.struct(
-            F.when(first, F.array(F.struct(listed.alias("items_page")))).alias("boards"),
-            F.when(~first, listed).alias("next_items_page"),
-        ).alias("data"),
-    ).write.json(path)
+    item = F.struct("id", "name", cells.alias("column_values"))
+    listed = F.struct(F.lit(None).cast("string").alias("cursor"), F.array(item).alias("items"))
+    first = page == 0
+    data = F.struct(
+        F.when(first, F.array(F.struct(listed.alias("items_page")))).alias("boards"),
+        F.when(~first, listed).alias("next_items_page"),
+    )
+    items.select(page.alias("page"), data.alias("data")).write.json(path)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
