@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.functions.dates import AsOf
-from tallyboard.functions.deal_rules import is_open, is_won
+from tallyboard.functions.deal_rules import is_open, is_won, weighted_value
 from tallyboard.functions.numbers import money_total
 from tallyboard.functions.work_rules import is_delayed
-from tallyboard.operators.deals import pipeline_health, revenue_total
+from tallyboard.operators.deals import pipeline_health
 from tallyboard.operators.shapes import one_row
 from tallyboard.operators.work_orders import delivery_totals
 
@@ -41,9 +41,24 @@ def sector_analysis(deals: DataFrame, work_orders: DataFrame, as_of: AsOf) -> Da
     return commercial.join(delivery, "sector", "full").na.fill(0)
 
 
+def deal_totals(deals: DataFrame) -> DataFrame:
+    """One row of won and open totals, in one pass over the deals."""
+    value, stage = F.col("value"), F.col("stage")
+    won, still_open = is_won(stage), is_open(stage)
+    return deals.agg(
+        money_total(F.when(won, value)).alias("total_revenue"),
+        F.count_if(won).alias("won_deals_count"),
+        money_total(F.when(still_open, value)).alias("total_pipeline_value"),
+        money_total(F.when(still_open, weighted_value(value, F.col("probability"), stage))).alias(
+            "weighted_pipeline_value"
+        ),
+        F.count_if(still_open).alias("deal_count"),
+    )
+
+
 def business_overview(deals: DataFrame, work_orders: DataFrame, as_of: AsOf) -> DataFrame:
     """Revenue, pipeline and delivery figures in one row."""
-    totals = one_row(revenue_total(deals), pipeline_health(deals, as_of), delivery_totals(work_orders, as_of))
+    totals = one_row(deal_totals(deals), delivery_totals(work_orders, as_of))
     total, completed, delayed = (F.col(f"{c}_work_orders") for c in ("total", "completed", "delayed"))
     return totals.select(
         "total_revenue",
@@ -72,7 +87,7 @@ def pipeline_vs_work_orders(deals: DataFrame, work_orders: DataFrame, as_of: AsO
 
 
 def general_business_health(deals: DataFrame, work_orders: DataFrame, as_of: AsOf) -> DataFrame:
-    totals = one_row(revenue_total(deals), pipeline_health(deals, as_of), delivery_totals(work_orders, as_of))
+    totals = one_row(deal_totals(deals), delivery_totals(work_orders, as_of))
     return totals.select(
         F.col("total_revenue").alias("realized_revenue"),
         F.col("total_pipeline_value").alias("active_pipeline"),
