@@ -23,6 +23,14 @@ from tallyboard.plans.dashboard import dashboard, dashboard_kpis, filtered_dashb
 from tallyboard.schemas import DEALS_BOARD, WORK_ORDERS_BOARD
 from tallyboard.sources import boards, derived, sinks
 
+try:  # the corpus operators are optional; an error inside them is not swallowed
+    import corpus_pipeline
+    from tallyboard.llm import registry as corpus
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tallyboard.llm"):
+        raise
+    corpus_pipeline = corpus = None
+
 AS_OF = derived.AS_OF
 FILTERS = DashboardFilters(
     start_date="2000-01-01", end_date="2000-12-31", min_probability=10, max_probability=80, search="ORDER 1"
@@ -332,6 +340,11 @@ def _quality_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    """The board queries, and those of the corpus operators where these are installed."""
+    return board_queries() | (corpus.QUERIES | {"pipeline": corpus_pipeline.run} if corpus else {})
+
+
+def board_queries() -> dict[str, Query]:
     return {
         # sources and sinks
         "scan_board_pages": _scan_board_pages,
@@ -489,4 +502,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    found = dict(ORACLES)
+    if corpus:
+        found |= corpus.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
