@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from tallyboard.llm import vector_search
+from tallyboard.llm.decontamination import op7_decontamination
+from tallyboard.llm.html_text import op9_html
 from tallyboard.llm.language_id import op3_language_id
 from tallyboard.llm.packing import op10_packing
 from tallyboard.llm.quality import op5_quality
 from tallyboard.llm.sharding import op4_sharding
 
 QUERIES = {
+    "op1_top_k": vector_search.op1_top_k,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op7_decontamination": op7_decontamination,
+    "op9_html": op9_html,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_top_k": vector_search.ORACLE}
