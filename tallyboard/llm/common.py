@@ -40,7 +40,7 @@ def bounded_sample(labelled: DataFrame, label: str, key: str, rows_per_label: in
     counts = labelled.groupBy(label).count()
     share = F.least(F.lit(1.0), F.lit(float(rows_per_label)) / F.col("count"))
     shares = counts.select(F.col(label).alias("_label"), (share * F.lit(1 << 30)).cast("long").alias("_below"))
-    marked = labelled.join(shares, F.col(label) == F.col("_label"))
+    marked = labelled.join(F.broadcast(shares), F.col(label) == F.col("_label"))  # one row per label
     drawn = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30))
     return marked.filter(drawn < F.col("_below")).drop("_label", "_below")
 

@@ -107,6 +107,8 @@ def match_text(text: str | None, index: ItemIndex, radius: int = RADIUS, similar
     for size in np.unique(index.sizes).tolist():
         width = min(size, len(codes))
         needed = np.ceil(similarity * (size + width) / (1 + similarity) - 1e-9)
+        if hit[-1] < needed:
+            continue
         starts = np.flatnonzero(hit[width:] - hit[:-width] >= needed)
         for part in range(0, len(starts), 4096):
             own = starts[part : part + 4096]
