@@ -6,6 +6,7 @@ from tallyboard.llm import vector_search
 from tallyboard.llm.decontamination import op7_decontamination
 from tallyboard.llm.html_text import op9_html
 from tallyboard.llm.language_id import op3_language_id
+from tallyboard.llm.ngram_join import op8_ngram_join
 from tallyboard.llm.packing import op10_packing
 from tallyboard.llm.quality import op5_quality
 from tallyboard.llm.sharding import op4_sharding
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op7_decontamination": op7_decontamination,
+    "op8_ngram_join": op8_ngram_join,
     "op9_html": op9_html,
     "op10_packing": op10_packing,
 }
