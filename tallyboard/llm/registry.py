@@ -10,9 +10,11 @@ from tallyboard.llm.ngram_join import op8_ngram_join
 from tallyboard.llm.packing import op10_packing
 from tallyboard.llm.quality import op5_quality
 from tallyboard.llm.sharding import op4_sharding
+from tallyboard.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op1_top_k": vector_search.op1_top_k,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
