@@ -6,6 +6,7 @@ from tallyboard.llm import vector_search
 from tallyboard.llm.decontamination import op7_decontamination
 from tallyboard.llm.html_text import op9_html
 from tallyboard.llm.language_id import op3_language_id
+from tallyboard.llm.line_dedup import op6_line_dedup
 from tallyboard.llm.ngram_join import op8_ngram_join
 from tallyboard.llm.packing import op10_packing
 from tallyboard.llm.quality import op5_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_ngram_join": op8_ngram_join,
     "op9_html": op9_html,
