@@ -81,6 +81,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", buckets:
     rows = rows.select(F.col(label).alias("_lang"), F.col(text).alias("_text"))
     counted = rows.mapInPandas(count, "_lang string, bucket long, n long").groupBy("_lang", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
+    if found.empty:
+        return LanguageModel([], np.zeros((buckets, 0), dtype=np.float32), np.zeros(0))
     languages = sorted(found["_lang"].unique())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} labels; the broadcast matrix is meant for {MAX_LANGUAGES} at most")
@@ -91,7 +93,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", buckets:
     counts[bucket[gram], column[gram]] += n[gram]
     docs[column[~gram]] = n[~gram]
     weights = np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32)
-    return LanguageModel(languages, weights, np.log(docs / docs.sum()) if len(languages) else docs)
+    return LanguageModel(languages, weights, np.log(docs / docs.sum()))
 
 
 def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray]:
