@@ -31,6 +31,7 @@ STAGE_PROBABILITIES = {
     "N. Not Relevant At The Moment": 0.0,
     "O. Not Relevant At All": 0.0,
 }
+# The probability of an unknown stage, and the buckets.
 DEFAULT_PROBABILITY = 20.0
 BUCKETS = ("0-20%", "20-40%", "40-60%", "60-80%", "80-100%")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: what counts as the number in a text.
 _FIRST_NUMBER = r"[-+]?\d*\.\d+|\d+"
 
 
@@ -15,7 +16,28 @@ def parse_number(text: Column) -> Column:
     return F.coalesce(number.try_cast("double"), F.lit(0.0))
 
 
+# Amounts below this are added as decimals; their sum stays exact for 10 ** 14 rows.
+EXACT_BELOW = 1e18
+
+
+def _sums(amount: Column) -> tuple[Column, Column]:
+    """Exact sum of the amounts of ordinary size, and the double sum of the rest; null where there are none."""
+    fits = F.abs(amount) < EXACT_BELOW
+    exact = F.sum(F.when(fits, amount).cast("decimal(28,6)"))
+    return exact, F.sum(F.when(~fits, amount.cast("double")))
+
+
+def money_sum(amount: Column) -> Column:
+    """Unrounded sum, for results that are added up further; 0 for no rows."""
+    exact, rest = _sums(amount)
+    return F.coalesce(exact.cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
+
+
 def money_total(amount: Column) -> Column:
-    """Sum that does not depend on row order: added as decimals, rounded to cents, 0 for no rows."""
-    exact = F.sum(amount.cast("decimal(28,6)"))
-    return F.coalesce(F.round(exact, 2).cast("double"), F.lit(0.0))
+    """Sum that does not depend on row order: added as decimals, rounded to cents, 0 for no rows.
+
+    An amount too large for that, such as a reference number in the wrong column, is added as a double at the end: it
+    neither stops the query nor gets lost.
+    """
+    exact, rest = _sums(amount)
+    return F.coalesce(F.round(exact, 2).cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))

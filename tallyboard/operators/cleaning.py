@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyboard.functions.dates import parse_date
+from tallyboard.functions.dates import SHORT_YEARS_AROUND, AsOf, parse_date
 from tallyboard.functions.numbers import parse_number
 from tallyboard.functions.text import (
     SECTOR_SPELLINGS,
@@ -115,36 +115,36 @@ def _cased(flat: DataFrame, spec: BoardSpec, *others: str | Column) -> DataFrame
     return flat.select("id", "name", *[cased(f) for f in spec.fields], *others)
 
 
-def _cleaned(field: str, spec: BoardSpec) -> Column:
+def _cleaned(field: str, spec: BoardSpec, as_of: AsOf) -> Column:
     if field in spec.numeric:
         return parse_number(F.col(field)).alias(field)
     if field in spec.dates:
-        return parse_date(F.col(field)).alias(field)
+        return parse_date(F.col(field), as_of).alias(field)
     if field in SPELLINGS:
         return relabel(F.col(field), SPELLINGS[field], F.col(field)).alias(field)
     return F.col(field)
 
 
-def clean_rows(flat: DataFrame, spec: BoardSpec) -> DataFrame:
+def clean_rows(flat: DataFrame, spec: BoardSpec, as_of: AsOf = SHORT_YEARS_AROUND) -> DataFrame:
     """Typed and normalised columns; every rule is a column expression, so unused ones are pruned."""
-    return _cased(flat, spec).select("id", "name", *[_cleaned(f, spec) for f in spec.fields])
+    return _cased(flat, spec).select("id", "name", *[_cleaned(f, spec, as_of) for f in spec.fields])
 
 
-def clean_flat(flat: DataFrame, spec: BoardSpec) -> DataFrame:
-    return clean_rows(dedupe_items(flat), spec)
+def clean_flat(flat: DataFrame, spec: BoardSpec, as_of: AsOf = SHORT_YEARS_AROUND) -> DataFrame:
+    return clean_rows(dedupe_items(flat), spec, as_of)
 
 
-def _is_missing(spec: BoardSpec, field: str) -> Column:
+def _is_missing(spec: BoardSpec, field: str, as_of: AsOf) -> Column:
     """What counts as missing: null numbers (not blank ones), blank text, unparseable dates only."""
     text = F.col(field)
     if field in spec.numeric:
         return text.isNull()
     if field in spec.dates:
-        return (text != "") & parse_date(text).isNull()
+        return (text != "") & parse_date(text, as_of).isNull()
     return text.isNull() | (text == "")
 
 
-def board_meta(flat: DataFrame, spec: BoardSpec) -> DataFrame:
+def board_meta(flat: DataFrame, spec: BoardSpec, as_of: AsOf = SHORT_YEARS_AROUND) -> DataFrame:
     """META rows of a board from its flattened items, in one pass.
 
     Each row shrinks to ``(id, seq, two bit masks)`` before the shuffle. The first row of each
@@ -154,7 +154,7 @@ def board_meta(flat: DataFrame, spec: BoardSpec) -> DataFrame:
         "id",
         "seq",
         "titles_present",
-        _bits([_is_missing(spec, field) for field in spec.fields]).alias("missing"),
+        _bits([_is_missing(spec, field, as_of) for field in spec.fields]).alias("missing"),
     )
     firsts = slim.groupBy("id").agg(
         F.count(F.lit(1)).alias("copies"),
@@ -165,7 +165,7 @@ def board_meta(flat: DataFrame, spec: BoardSpec) -> DataFrame:
     return meta_of_marks(firsts, spec)
 
 
-def clean_marked(flat: DataFrame, spec: BoardSpec) -> DataFrame:
+def clean_marked(flat: DataFrame, spec: BoardSpec, as_of: AsOf = SHORT_YEARS_AROUND) -> DataFrame:
     """Clean rows that also carry the marks META is counted from, all in one pass over the board.
 
     For boards that are stored: ``copies``, ``seq``, ``missing`` and ``titles_present`` stand
@@ -180,7 +180,7 @@ def clean_marked(flat: DataFrame, spec: BoardSpec) -> DataFrame:
     parsed = {f"text_of_{field}": F.col(field) for field in spec.numeric + spec.dates}
     typed = _cased(
         firsts.select("id", "copies", "seq", "kept.*").withColumns(parsed), spec, *marks, *parsed
-    ).select("id", "name", *[_cleaned(f, spec) for f in spec.fields], *marks, *parsed)
+    ).select("id", "name", *[_cleaned(f, spec, as_of) for f in spec.fields], *marks, *parsed)
 
     def missing(field: str) -> Column:
         if field in spec.dates:
@@ -201,20 +201,22 @@ def meta_of_marks(firsts: DataFrame, spec: BoardSpec) -> DataFrame:
         *missing_counts,
     )
 
-    def row(metric: str, field: str | None, count: str) -> str:
-        place = f"'{field}'" if field else "CAST(NULL AS STRING)"
-        return (
-            f"named_struct('board', '{spec.board}', 'metric', '{metric}', 'field', {place}, "
-            f"'count', CAST({count} AS BIGINT))"
+    def row(metric: str, field: str | None, count: Column) -> Column:
+        return F.struct(
+            F.lit(spec.board).alias("board"),
+            F.lit(metric).alias("metric"),
+            F.lit(field).cast("string").alias("field"),
+            count.cast("bigint").alias("count"),
         )
 
-    rows = [row("total_rows", None, "total_rows"), row("dropped_rows", None, "total_rows - kept_rows")]
+    rows = [
+        row("total_rows", None, F.col("total_rows")),
+        row("dropped_rows", None, F.col("total_rows") - F.col("kept_rows")),
+    ]
     for i, field in enumerate(spec.fields):
-        rows.append(row("missing_field", field, f"missing_{i}"))
-        rows.append(row("missing_column", field, f"IF(titles_present & {1 << i} = 0, 1, 0)"))
-    return totals.selectExpr(f"inline(array({', '.join(rows)}))").filter(
-        "count > 0 OR metric IN ('total_rows', 'dropped_rows')"
-    )
+        rows.append(row("missing_field", field, F.col(f"missing_{i}")))
+        rows.append(row("missing_column", field, (~_bit(F.col("titles_present"), i)).cast("int")))
+    return totals.select(F.inline(F.array(*rows))).filter("count > 0 OR metric IN ('total_rows', 'dropped_rows')")
 
 
 def count_missing(flat: DataFrame, spec: BoardSpec) -> DataFrame:
@@ -234,7 +236,7 @@ def missing_columns_union(*metas: DataFrame) -> DataFrame:
     )
 
 
-def clean_board(items: DataFrame, spec: BoardSpec) -> CleanBoard:
+def clean_board(items: DataFrame, spec: BoardSpec, as_of: AsOf = SHORT_YEARS_AROUND) -> CleanBoard:
     """The whole pipeline; both frames are lazy and independent of each other."""
     flat = flatten_items(items, spec)
-    return CleanBoard(clean_flat(flat, spec), board_meta(flat, spec))
+    return CleanBoard(clean_flat(flat, spec, as_of), board_meta(flat, spec, as_of))

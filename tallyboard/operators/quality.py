@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions.dates import AsOf, in_quarter
 from tallyboard.functions.deal_rules import is_open
-from tallyboard.functions.numbers import money_total
+from tallyboard.functions.numbers import money_sum, money_total
 from tallyboard.functions.text import labelled, strip
 from tallyboard.operators.deals import open_deals, top_open_deals
 from tallyboard.operators.shapes import one_row
@@ -25,6 +25,7 @@ CHECKS = (
     "invalid_values",
     "missing_columns",
 )
+# The labels.
 HEALTH_LABELS = {"green": "Healthy", "yellow": "Warning", "red": "Critical"}
 
 
@@ -243,7 +244,7 @@ def stage_rollup(deals: DataFrame, as_of: AsOf) -> DataFrame:
         open_deals(deals)
         .groupBy("stage")
         .agg(
-            F.sum(F.col("value").cast("decimal(28,6)")).alias("value"),
+            money_sum(F.col("value")).alias("value"),
             F.count(F.lit(1)).alias("deal_count"),
             F.count_if(in_quarter(day, as_of)).alias("quarter_count"),
             F.count_if(day.isNull()).alias("undated"),

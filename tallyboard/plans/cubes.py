@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.functions.numbers import money_sum
 from tallyboard.functions.dates import AsOf, in_quarter, month_of
 from tallyboard.functions.deal_rules import (
     is_lost,
@@ -53,14 +54,14 @@ def _section(keys: tuple[str, ...]) -> tuple[Column, Column]:
 
 
 def _money(amount: Column, alias: str) -> Column:
-    return F.sum(amount.cast("decimal(28,6)")).alias(alias)
+    return money_sum(amount).alias(alias)
 
 
 def deal_cube(deals: DataFrame, as_of: AsOf, rules: Rules = REPORT_RULES) -> DataFrame:
     """Deals by outcome and, in turn, stage, close month, probability bucket and sector.
 
     ``(outcome, section, key, value, weighted, weighted_raw, quarter_value, deal_count,
-    quarter_count, undated)``; sums stay exact decimals so that they can be added up further.
+    quarter_count, undated)``; sums are unrounded so that they can be added up further.
     """
     value, probability, stage, day = (F.col(c) for c in ("value", "probability", "stage", "expected_close_date"))
     outcome = F.when(is_won(stage), "won").when(is_lost(stage), "lost").otherwise("open")

@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallyboard.functions.text import strip
 from tallyboard.schemas import DEALS, PAGE, WORK_ORDERS
@@ -17,24 +17,44 @@ class Boards(NamedTuple):
     work_orders: DataFrame
 
 
-def scan_board_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+_CORRUPT = "_corrupt_page"
+_PLACE_BITS = 24  # an item's place in its page; the page ordinal stands above it
+
+
+def _pages(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Pages with their items, and what is wrong with a page, null for a good one."""
+    schema = StructType([*PAGE.fields, StructField("errors", StringType()), StructField(_CORRUPT, StringType())])
+    reader = spark.read.schema(schema).option("multiLine", multi_line).option("columnNameOfCorruptRecord", _CORRUPT)
+    boards = F.col("data.boards")
+    fault = (
+        F.when(F.col(_CORRUPT).isNotNull(), "no readable document")
+        .when(F.col("errors").isNotNull(), "an error document")
+        .when(F.col("page").isNull(), "no page ordinal")
+        .when(boards.isNull() & F.col("data.next_items_page.items").isNull(), "neither a first nor a later page")
+        .when((F.size(boards) > 0) & F.get(boards, F.lit(0))["items_page"]["items"].isNull(), "a first page without items")
+    )
+    items = F.coalesce(F.col("data.next_items_page.items"), F.get(boards, F.lit(0))["items_page"]["items"])
+    return reader.json(path).select("page", items.alias("items"), fault.alias("fault"), F.col("_metadata.file_path").alias("file"))
+
+
+def scan_board_pages(spark: SparkSession, path: str, multi_line: bool = False, skip_bad: bool = False) -> DataFrame:
     """All items of a board from its landed result pages.
 
-    One JSON document per page. Pages are ordered by their ``page`` ordinal, or by file where
-    they have none; ``seq`` is the place of the item on the board.
+    One JSON document per page, with its ordinal in ``page``. ``seq``, the page ordinal and the place in the page in one
+    number, is the order of the board. A page that cannot be read, holds errors or lacks the ordinal fails the query, as an
+    incomplete board would pass for a complete one; with ``skip_bad`` it is left out, and ``unreadable_pages`` counts it.
     """
-    pages = spark.read.schema(PAGE).option("multiLine", multi_line).json(path)
-    ordinal = F.struct(F.coalesce(F.col("page"), F.lit(0)).alias("page"), F.col("_metadata.file_path").alias("file"))
-    items = pages.select(
-        ordinal.alias("doc"),
-        F.posexplode(
-            F.coalesce(F.col("data.next_items_page.items"), F.get("data.boards", F.lit(0))["items_page"]["items"])
-        ).alias("pos", "item"),
-    )
+    pages = _pages(spark, path, multi_line)
+    if skip_bad:
+        pages = pages.filter("fault is null")
+    else:
+        told = F.raise_error(F.concat(F.lit("bad page, "), "fault", F.lit(", in "), "file")).cast(pages.schema["items"].dataType)
+        pages = pages.withColumn("items", F.when(F.col("fault").isNull(), F.col("items")).otherwise(told))
+    items = pages.select("page", F.posexplode("items").alias("pos", "item"))
     return items.select(
-        F.col("doc.page").alias("page"),
+        "page",
         "pos",
-        F.struct("doc", "pos").alias("seq"),
+        F.shiftleft("page", _PLACE_BITS).bitwiseOR(F.col("pos").cast("long")).alias("seq"),
         F.col("item.id").alias("id"),
         F.col("item.name").alias("name"),
         F.transform(
@@ -49,9 +69,19 @@ def scan_board_pages(spark: SparkSession, path: str, multi_line: bool = False) -
     )
 
 
-def load_boards(spark: SparkSession, deals_path: str, work_orders_path: str) -> Boards:
+def unreadable_pages(spark: SparkSession, path: str, board: str, multi_line: bool = False) -> DataFrame:
+    """META row with the number of pages that ``skip_bad`` leaves out."""
+    bad = F.count_if(F.col("fault").isNotNull()).alias("count")
+    return _pages(spark, path, multi_line).agg(bad).select(
+        F.lit(board).alias("board"), F.lit("unreadable_pages").alias("metric"), F.lit(None).cast("string").alias("field"), "count"
+    )
+
+
+def load_boards(
+    spark: SparkSession, deals_path: str, work_orders_path: str, multi_line: bool = False, skip_bad: bool = False
+) -> Boards:
     """Items of both boards; nothing is read until used."""
-    return Boards(scan_board_pages(spark, deals_path), scan_board_pages(spark, work_orders_path))
+    return Boards(*(scan_board_pages(spark, path, multi_line, skip_bad) for path in (deals_path, work_orders_path)))
 
 
 def scan_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

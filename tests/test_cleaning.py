@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import golden
 from tallyboard.operators import cleaning, messages
-from tallyboard.schemas import DEALS, DEALS_BOARD, WORK_ORDERS_BOARD
+from tallyboard.schemas import DEALS, DEALS_BOARD, WORK_ORDERS_BOARD, BoardSpec
 from tallyboard.sources import boards, derived, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +88,7 @@ def test_scan_orders_pages_and_lifts_titles(spark, tmp_path):
     later = {"data": {"next_items_page": {"cursor": None, "items": [item(2)]}}}
     nothing = {"data": {"boards": []}}
     for n, page in enumerate((first, later, nothing)):
+        page["page"] = n
         (tmp_path / f"page-{n:05d}.json").write_text(json.dumps(page, indent=1))
     items = boards.scan_board_pages(spark, str(tmp_path), multi_line=True)
     assert [r.id for r in items.orderBy("seq").collect()] == ["0", "1", "2"]
@@ -95,6 +96,50 @@ def test_scan_orders_pages_and_lifts_titles(spark, tmp_path):
     assert (flat.stage, flat.owner) == ("Lead", "Ann")
 
 
+def page_of(number, *ids):
+    items = [{"id": i, "name": "n", "column_values": []} for i in ids]
+    return {"page": number, "data": {"next_items_page": {"cursor": None, "items": items}}}
+
+
+def test_pages_in_order_of_their_ordinal(spark, tmp_path):
+    (tmp_path / "page-10.json").write_text(json.dumps(page_of(10, "a", "b")))
+    (tmp_path / "page-2.json").write_text(json.dumps(page_of(2, "b", "a")) + "\n" + json.dumps(page_of(3, "c")))
+    items = boards.scan_board_pages(spark, str(tmp_path))
+    assert [(r.page, r.pos, r.id) for r in items.orderBy("seq").collect()] == [
+        (2, 0, "b"), (2, 1, "a"), (3, 0, "c"), (10, 0, "a"), (10, 1, "b"),
+    ]
+    first = cleaning.dedupe_items(cleaning.flatten_items(items, DEALS_BOARD)).orderBy("seq").collect()
+    assert [r.id for r in first] == ["b", "a", "c"]
+
+
+@pytest.mark.parametrize(
+    "bad",
+    ['{"page": 1, "data": {"next_items_page": {"items": [{"id": "x"', '{"page": 1, "errors": [{"message": "no"}]}',
+     '{"page": 1, "data": {"next_items_page": {"cursor": "c"}}}', '{"data": {"next_items_page": {"items": []}}}'],
+)
+def test_a_bad_page_fails_or_is_counted(spark, tmp_path, bad):
+    (tmp_path / "a.json").write_text(json.dumps(page_of(0, "a")))
+    (tmp_path / "b.json").write_text(bad)
+    with pytest.raises(Exception, match="bad page"):
+        boards.scan_board_pages(spark, str(tmp_path)).collect()
+    assert [r.id for r in boards.scan_board_pages(spark, str(tmp_path), skip_bad=True).collect()] == ["a"]
+    assert boards.unreadable_pages(spark, str(tmp_path), "Deals").first()["count"] == 1
+
+
+def test_pretty_printed_pages_of_both_boards(spark, tmp_path):
+    for name in ("deals", "orders"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "p.json").write_text(json.dumps(page_of(0, name), indent=2))
+    both = boards.load_boards(spark, str(tmp_path / "deals"), str(tmp_path / "orders"), multi_line=True)
+    assert (both.deals.first().id, both.work_orders.first().id) == ("deals", "orders")
+
+
+def test_names_with_quotes(spark):
+    spec = BoardSpec(board="Bob's", aliases=(("It's", "sector"),), text=("sector",))
+    flat = spark.createDataFrame([(1, "a", "n", None, 0)], "seq long, id string, name string, sector string, titles_present long")
+    assert {r.board for r in cleaning.board_meta(flat, spec).collect()} == {"Bob's"}
+
+
 def test_sample_and_columns(spark):
     items = golden.deal_items(spark)
     assert {r.id for r in boards.sample_items(items, "Deals").collect()} == {"d1", "d2", "d3"}

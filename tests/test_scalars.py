@@ -86,7 +86,10 @@ DATE_TEXTS = [
     "15.07.2026", "07/15/2026", "20260715", "Jul 15, 2026", "July 15, 2026", "15 Jul 2026", "15 July 2026", "July 2026",
     "May 2026", "Jul 15 2026", "15-Jul-2026", "2026-07", "2026", "15/07/26", "15-07-26", "07/15/99", "2026-02-30",
     "31/04/2026", "13/13/2026", "tbd", "soon", "2026-07-15T10:30:00", "2026-07-15 10:30", "2026-07-15T23:00:00Z",
-    "Sept 3, 2026", "3rd Jul 2026", "Foo 3, 2026", "not a date",
+    "Sept 3, 2026", "3rd Jul 2026", "Foo 3, 2026", "not a date", "15-Jul-26", "15 Jul 26", "Jul 15 26", "07/2026", "7/2026",
+    "7/15/2026 3:00 PM", "2026-07-15 3:00 PM", "Wed, 15 Jul 2026", "Wednesday, July 15, 2026", "15/Jul/2026", "2026-Jul-15",
+    "2026 Jul 15", "20260715 10:30", "20260715T103000", "2026-07-15 10:30:00 UTC", "2026-07-15T10", "2026-Q3", "2026Q1",
+    "9999-12-31", "2300-01-01", "1500-01-01", "2262-04-11", "1677-09-22", "15-Jul-75",
 ]
 
 
@@ -99,6 +102,22 @@ def test_parse_date_matches_pandas(spark):
     assert dict(zip(DATE_TEXTS, actual)) == dict(zip(DATE_TEXTS, expected))
 
 
+def test_short_years_lie_around_as_of(spark):
+    texts = ["01/02/49", "01/02/50", "3 May 99", "01/02/00"]
+    around_2000 = evaluate(spark, lambda c: dates.parse_date(c, "2000-07-27"), texts)
+    assert [d.year for d in around_2000] == [2049, 1950, 1999, 2000]
+    assert [d.year for d in evaluate(spark, lambda c: dates.parse_date(c, dt.date(2060, 1, 1)), texts)] == [2049, 2050, 2099, 2100]
+
+
+def test_money_sums_never_fail_and_never_drop(spark):
+    rows = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("a", 1e22), ("b", float("inf")), ("b", 1.0), ("c", None)], "k string, v double")
+    shown = {r.k: (r.t, r.s) for r in rows.groupBy("k").agg(numbers.money_total(F.col("v")).alias("t"), numbers.money_sum(F.col("v")).alias("s")).collect()}
+    assert shown == {"a": (1e22, 1e22), "b": (float("inf"),) * 2, "c": (0.0, 0.0)}
+    texts = ["9" * 23, "9" * 400, "12.345"]
+    assert evaluate(spark, numbers.parse_number, texts) == [float("9" * 23), float("inf"), 12.345]
+    assert rows.filter("v < 1").agg(numbers.money_total(F.col("v"))).first()[0] == 0.3
+
+
 def test_parse_date_rejects_numbers_and_relative_words(spark):
     assert evaluate(spark, dates.parse_date, ["45000", "now", "today", "", None]) == [None] * 5
 
