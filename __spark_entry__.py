@@ -33,7 +33,7 @@ except ModuleNotFoundError as missing:
 
 AS_OF = derived.AS_OF
 FILTERS = DashboardFilters(
-    start_date="2000-01-01", end_date="2000-12-31", min_probability=10, max_probability=80, search="ORDER 1"
+    start_date="2000-01-01", end_date="2000-12-31", min_probability=10, max_probability=80, search="11"
 )
 ORDER_FILTERS = DashboardFilters(
     start_date="2000-02-01", end_date="2001-01-31", owner="Supplier#000000007", wo_status="In Progress", search="wo "
@@ -238,7 +238,7 @@ def _missing_columns_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dedupe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = cleaning.dedupe_items(derived.flat_work_orders(spark, sf_dir))
-    return first.select("id", F.col("seq.l_shipdate").cast("date").cast("string").alias("ship_date"), "due_date")
+    return first.select("id", derived.ship_date(F.col("seq")).cast("string").alias("ship_date"), "due_date")
 
 
 def _title_case(spark: SparkSession, sf_dir: str) -> DataFrame:

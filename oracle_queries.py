@@ -316,11 +316,11 @@ _OVERVIEW = f"""SELECT total_revenue, won_deals_count, total_pipeline_value, wei
 
 _FILTERED = f"""{_CLEAN},
 found AS (
-  SELECT * FROM facts WHERE contains(lower(name), 'order 1') AND fp BETWEEN 10 AND 80
+  SELECT * FROM facts WHERE contains(lower(name), '11') AND fp BETWEEN 10 AND 80
     AND close BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'
 ),
 found_orders AS (
-  SELECT * FROM judged WHERE contains(lower(name), 'order 1')
+  SELECT * FROM judged WHERE contains(lower(name), '11')
     AND due BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'
 )"""
 
@@ -733,9 +733,9 @@ ORACLES: dict[str, str] = {
     "dashboard_kpis": _clean(_kpis("facts", "judged", "weighted", "category = 'Delayed'")),
     "dashboard": _dashboard(),
     "filtered_dashboard": _filtered_dashboard(
-        """SELECT * FROM facts WHERE contains(lower(name), 'order 1') AND fp BETWEEN 10 AND 80
+        """SELECT * FROM facts WHERE contains(lower(name), '11') AND fp BETWEEN 10 AND 80
            AND close BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""",
-        """SELECT * FROM judged WHERE contains(lower(name), 'order 1')
+        """SELECT * FROM judged WHERE contains(lower(name), '11')
            AND due BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""",
     ),
     "filtered_dashboard_defaults": _filtered_dashboard(

@@ -64,11 +64,18 @@ def route_volume(messages: DataFrame) -> DataFrame:
     return route_messages(messages).groupBy("route").count()
 
 
+# Spark's default for spark.sql.optimizer.windowGroupLimitThreshold.
+MOST_TURNS = 1000
+
+
 def recent_turns(turns: DataFrame, n: int = KEPT_TURNS) -> DataFrame:
     """The last ``n`` turns of each conversation.
 
-    The limit is applied before the shuffle too: a task sends at most ``n`` rows per conversation.
+    The limit is applied before the shuffle too: a task sends at most ``n`` rows per conversation. That holds up to
+    `MOST_TURNS`; more are refused, as a long conversation would then be sorted whole in one task.
     """
+    if n > MOST_TURNS:
+        raise ValueError(f"at most {MOST_TURNS} turns")
     latest = Window.partitionBy("conversation_id").orderBy(F.col("turn").desc())
     return (
         turns.withColumn("nth", F.row_number().over(latest))

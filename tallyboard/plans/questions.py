@@ -54,15 +54,29 @@ def pipeline_summary(b: Business) -> DataFrame:
     return deals.pipeline_health(b.deals, b.as_of)
 
 
+def _whole_and_parts(counted: DataFrame, whole: str, parts: str, key: str, detail: str | None = None) -> DataFrame:
+    """Tidy rows from ``counted`` (whole, key, n), in which a row for the whole board, 0 if need be, is added.
+
+    Both come from one pass over the board; the result of the pass is summed once more with the row of zero.
+    """
+    zero = counted.sparkSession.range(1).select(F.lit(True).alias("whole"), F.lit(0).cast("long").alias("n"))
+    keys = ["whole", key] + ([detail] if detail else [])
+    summed = counted.unionByName(zero, allowMissingColumns=True).groupBy(*keys).agg(F.sum("n").alias("n"))
+    listed = F.col("whole") | F.col(key).isNotNull()
+    return summed.filter(listed).select(
+        F.when(F.col("whole"), whole).otherwise(parts).alias("section"),
+        F.when(F.col("whole") | F.lit(detail is None), "count").otherwise("item").alias("metric"),
+        F.col(key).cast("string").alias("key"),
+        F.when(F.col("whole") | F.lit(detail is None), F.col("n")).cast("double").alias("value"),
+        (F.col(detail) if detail else F.lit(None)).cast("string").alias("detail"),
+    )
+
+
 def open_opportunities(b: Business) -> DataFrame:
     """Count of open deals in all and by stage."""
-    total = deals.open_deals(b.deals).agg(F.count(F.lit(1)).alias("n"))
-    return union_all(
-        [
-            tidy(total, "open_opportunities", None, {"count": F.col("n")}),
-            tidy(deals.stage_counts(b.deals), "opportunities_by_stage", F.col("stage"), {"count": F.col("count")}),
-        ]
-    )
+    counted = deals.open_deals(b.deals).groupingSets([("stage",), ()], "stage")
+    counted = counted.agg((F.grouping("stage") == 1).alias("whole"), F.count(F.lit(1)).alias("n"))
+    return _whole_and_parts(counted, "open_opportunities", "opportunities_by_stage", "stage")
 
 
 def top_deals(b: Business) -> DataFrame:
@@ -71,27 +85,18 @@ def top_deals(b: Business) -> DataFrame:
 
 def delayed_work_orders(b: Business) -> DataFrame:
     """Count and list of delayed orders."""
-    detail = F.concat_ws(" | ", "name", "status", "sector", "due_date", "assigned_to")
-    count = work_orders.delayed_count(b.work_orders, b.as_of)
-    items = work_orders.delayed_items(b.work_orders, b.as_of)
-    return union_all(
-        [
-            tidy(count, "delayed_work_orders", None, {"count": F.col("total_delayed_count")}),
-            tidy(items, "delayed_items", F.col("id"), {"item": F.lit(None)}, detail),
-        ]
-    )
+    detail = F.concat_ws(" | ", "name", "status", "sector", "due_date", "assigned_to").alias("detail")
+    items = work_orders.delayed_items(b.work_orders, b.as_of).select("id", detail)
+    counted = items.groupingSets([("id", "detail"), ()], "id", "detail")
+    counted = counted.agg((F.grouping("id") == 1).alias("whole"), F.count(F.lit(1)).alias("n"))
+    return _whole_and_parts(counted, "delayed_work_orders", "delayed_items", "id", "detail")
 
 
 def work_order_summary(b: Business) -> DataFrame:
     """All orders and their distribution over the delivery categories."""
-    total = b.work_orders.agg(F.count(F.lit(1)).alias("n"))
-    status = work_orders.work_order_status(b.work_orders)
-    return union_all(
-        [
-            tidy(total, "total_work_orders", None, {"count": F.col("n")}),
-            tidy(status, "status_distribution", F.col("status"), {"count": F.col("count")}),
-        ]
-    )
+    status = work_orders.work_order_status(b.work_orders).groupingSets([("status",), ()], "status")
+    counted = status.agg((F.grouping("status") == 1).alias("whole"), F.sum("count").alias("n"))
+    return _whole_and_parts(counted, "total_work_orders", "status_distribution", "status")
 
 
 def revenue_forecast(b: Business) -> DataFrame:

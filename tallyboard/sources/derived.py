@@ -93,6 +93,15 @@ def raw_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Ship date, part and supplier in one number, for up to 2 ** 28 parts and 2 ** 21 suppliers.
+_ORDER_SEQ = "shiftleft(CAST(datediff(shipped, DATE '1970-01-01') AS BIGINT), 49) | shiftleft(l_partkey, 21) | l_suppkey"
+
+
+def ship_date(seq: Column) -> Column:
+    """Day that `seq` of a work order begins with."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.shiftright(seq, 49).cast("int"))
+
+
 def raw_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Work orders as text from line items, parts and suppliers; ids repeat naturally."""
     lines, parts = spread(_table(spark, sf_dir, "lineitem")), _table(spark, sf_dir, "part")
@@ -102,7 +111,7 @@ def raw_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
         .withColumn("shipped", F.col("l_shipdate").cast("date"))
         .selectExpr(
-            "struct(l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS seq",
+            f"{_ORDER_SEQ} AS seq",
             "l_orderkey || '-' || l_linenumber AS id", "'WO ' || l_orderkey || '-' || l_linenumber AS name",
             *_written(_ORDER_RULES),
         )
