@@ -488,8 +488,11 @@ def board_queries() -> dict[str, Query]:
         "owner_analysis": _answer("owner_analysis"),
         "stage_breakdown": _answer("stage_breakdown"),
         "general_business_health": _answer("general_business_health"),
+        "answer_charts": lambda spark, sf_dir: questions.charts(_staged(spark, sf_dir), *questions.CHARTS),
+        "answer_completeness": lambda spark, sf_dir: questions.completeness(_business(spark, sf_dir)),
         # messages
         "route_messages": lambda spark, sf_dir: messages.route_messages(derived.messages(spark, sf_dir)),
+        "route_conversations": lambda spark, sf_dir: messages.route_messages(derived.turns(spark, sf_dir)),
         "route_volume": lambda spark, sf_dir: messages.route_volume(derived.messages(spark, sf_dir)),
         "recent_turns": lambda spark, sf_dir: messages.recent_turns(derived.messages(spark, sf_dir)),
         "recent_turns_routing": lambda spark, sf_dir: messages.recent_turns(

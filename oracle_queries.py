@@ -585,6 +585,10 @@ routed AS (
 )"""
 
 
+_QUESTION = """CASE WHEN is_ambiguous THEN 'Could you clarify if you want a Pipeline Summary, open opportunities count, '
+  || 'delayed work orders details, or a general Leadership Summary?' END AS question"""
+
+
 def _recent(source: str, n: int) -> str:
     return f"""SELECT conversation_id, turn, role, text FROM {source}
       QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) <= {n}"""
@@ -774,9 +778,45 @@ ORACLES: dict[str, str] = {
         (SELECT {_money("value")} FROM facts WHERE is_open) AS active_pipeline,
         count(*) FILTER (category = 'Completed') AS completed_projects,
         count(*) FILTER (category = 'Delayed') AS delayed_projects FROM judged"""),
-    "route_messages": f"WITH {_MESSAGES} SELECT conversation_id, turn, text, is_ambiguous, route FROM routed",
+    "route_messages": f"WITH {_MESSAGES} SELECT conversation_id, turn, text, is_ambiguous, {_QUESTION}, route FROM routed",
+    "route_conversations": f"""WITH {_MESSAGES.replace(" FROM events", " FROM events WHERE false UNION ALL SELECT conv_id, turn, role, text FROM conversations")}
+        SELECT conversation_id, turn, text, is_ambiguous, {_QUESTION}, route FROM routed""",
     "route_volume": f"WITH {_MESSAGES} SELECT route, count(*) AS count FROM routed GROUP BY route",
     "recent_turns": f"WITH {_MESSAGES} {_recent('messages', 20)}",
     "recent_turns_routing": _recent(_CONVERSATIONS, 3),
     "recent_turns_answer": _recent(_CONVERSATIONS, 5),
 }
+
+
+def _chart(name: str, source: str, key: str, *measures: str) -> str:
+    rows = [f"SELECT '{name}' AS chart, '{m}' AS metric, {key} AS key, {m}::DOUBLE AS value FROM ({ORACLES[source]})" for m in measures]
+    return " UNION ALL ".join(rows)
+
+
+# Charts of each route, as the fixed table of the plan names them.
+_CHARTS = {
+    "pipeline_stage": _chart("pipeline_stage", "pipeline_stage", "stage", "value", "count"),
+    "revenue_forecast": _chart("revenue_forecast", "revenue_forecast", "month", "unweighted_value", "weighted_value", "deal_count"),
+    "opportunity_distribution": _chart("opportunity_distribution", "opportunity_distribution", "name", "value"),
+    "work_orders": _chart("work_orders", "work_order_status", "status", "count"),
+    "top_deals": _chart("top_deals", "top_deals", "name", "value"),
+}
+_SHOWN = (
+    ("pipeline_summary", "pipeline_stage"), ("pipeline_summary", "revenue_forecast"),
+    ("open_opportunities", "pipeline_stage"), ("open_opportunities", "opportunity_distribution"),
+    ("top_deals", "top_deals"), ("delayed_work_orders", "work_orders"), ("work_order_summary", "work_orders"),
+    ("revenue_forecast", "revenue_forecast"), ("pipeline_vs_work_orders", "pipeline_stage"),
+    ("pipeline_vs_work_orders", "work_orders"), ("stage_breakdown", "pipeline_stage"),
+)
+ORACLES["answer_charts"] = " UNION ALL ".join(
+    f"SELECT '{route}' AS route, chart, metric, key, value FROM ({_CHARTS[chart]})" for route, chart in _SHOWN
+)
+_ROUTES = (
+    "pipeline_summary open_opportunities top_deals delayed_work_orders work_order_summary revenue_forecast leadership_summary "
+    "pipeline_vs_work_orders data_quality owner_analysis stage_breakdown general_business_health"
+).split()
+_COMPLETE = {"pipeline_summary": "value_complete", "leadership_summary": "data_completeness"}
+ORACLES["answer_completeness"] = " UNION ALL ".join(
+    f"SELECT '{r}' AS route, " + (f"(SELECT is_complete FROM ({ORACLES[_COMPLETE[r]]}))" if r in _COMPLETE else "true") + " AS data_complete"
+    for r in _ROUTES
+)

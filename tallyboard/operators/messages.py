@@ -26,6 +26,12 @@ ROUTES = (
 )
 DEFAULT_ROUTE = "general_business_health"
 
+# Fixed value: what an ambiguous message is answered with.
+QUESTION = (
+    "Could you clarify if you want a Pipeline Summary, open opportunities count, "
+    "delayed work orders details, or a general Leadership Summary?"
+)
+
 # Turns kept per conversation, shown to the router, shown to the answerer.
 KEPT_TURNS = 20
 ROUTING_TURNS = 3
@@ -48,7 +54,7 @@ def route_of(lowered: Column) -> Column:
 
 
 def route_messages(messages: DataFrame) -> DataFrame:
-    """Each message with its route; ambiguous ones get the default."""
+    """Each message with its route; ambiguous ones get the default, and the question that is asked back."""
     lowered = messages.select("conversation_id", "turn", "text", F.lower("text").alias("lowered"))
     vague = is_ambiguous(F.col("lowered"))
     return lowered.select(
@@ -56,6 +62,7 @@ def route_messages(messages: DataFrame) -> DataFrame:
         "turn",
         "text",
         vague.alias("is_ambiguous"),
+        F.when(vague, F.lit(QUESTION)).alias("question"),
         F.when(vague, F.lit(DEFAULT_ROUTE)).otherwise(route_of(F.col("lowered"))).alias("route"),
     )
 

@@ -15,6 +15,7 @@ from tallyboard.functions.dates import AsOf
 from tallyboard.operators import both_boards, deals, quality, work_orders
 from tallyboard.operators.shapes import tidy, union_all
 from tallyboard.plans.leadership import leadership_summary
+from tallyboard.schemas import DEALS_BOARD
 
 
 Loader = Callable[[], DataFrame]
@@ -156,5 +157,63 @@ ANSWERS = {
 }
 
 
+# The charts that go with the answer of a route.
+CHARTS = {
+    "pipeline_summary": ("pipeline_stage", "revenue_forecast"),
+    "open_opportunities": ("pipeline_stage", "opportunity_distribution"),
+    "top_deals": ("top_deals",),
+    "delayed_work_orders": ("work_orders",),
+    "work_order_summary": ("work_orders",),
+    "revenue_forecast": ("revenue_forecast",),
+    "pipeline_vs_work_orders": ("pipeline_stage", "work_orders"),
+    "stage_breakdown": ("pipeline_stage",),
+}
+
+
+def charts(b: Business, *routes: str) -> DataFrame:
+    """``(route, chart, metric, key, value)``: the bars of the charts that go with the answers of the routes.
+
+    A chart that several routes show is worked out once. For several charts of one board give stored tables.
+    """
+
+    def bars(chart: str, frame: DataFrame, key: str, *measures: str) -> DataFrame:
+        return tidy(frame, chart, F.col(key), {m: F.col(m) for m in measures})
+
+    drawn = {
+        "pipeline_stage": lambda: bars("pipeline_stage", deals.pipeline_stage_totals(b.deals), "stage", "value", "count"),
+        "revenue_forecast": lambda: bars(
+            "revenue_forecast", deals.revenue_forecast(b.deals, b.as_of), "month", "unweighted_value", "weighted_value", "deal_count"
+        ),
+        "opportunity_distribution": lambda: bars(
+            "opportunity_distribution", deals.opportunity_distribution(b.deals), "name", "value"
+        ),
+        "work_orders": lambda: bars("work_orders", work_orders.work_order_status(b.work_orders), "status", "count"),
+        "top_deals": lambda: bars("top_deals", deals.top_deals(b.deals), "name", "value"),
+    }
+    wanted = list(dict.fromkeys(chart for route in routes for chart in CHARTS.get(route, ())))
+    shown_by = F
+    for chart in wanted:
+        names = [F.lit(route) for route in routes if chart in CHARTS.get(route, ())]
+        shown_by = shown_by.when(F.col("section") == chart, F.array(*names))
+    every = union_all([drawn[chart]() for chart in wanted])
+    return every.select(F.explode(shown_by).alias("route"), F.col("section").alias("chart"), "metric", "key", "value")
+
+
+def completeness(b: Business) -> DataFrame:
+    """``(route, data_complete)``: whether the fields that an answer of the route stands on are filled.
+
+    The pipeline summary stands on the values of deals, the leadership summary on all fields of both boards; other answers
+    always count as complete.
+    """
+    entries = b.deals_meta.unionByName(b.work_orders_meta).filter("metric = 'missing_field' AND count > 0")
+    found = entries.agg(
+        (F.count_if((F.col("board") == DEALS_BOARD.board) & (F.col("field") == "value")) == 0).alias("values"),
+        (F.count(F.lit(1)) == 0).alias("fields"),
+    )
+    stands_on = {"pipeline_summary": F.col("values"), "leadership_summary": F.col("fields")}
+    rows = [F.struct(F.lit(r).alias("route"), stands_on.get(r, F.lit(True)).alias("data_complete")) for r in ANSWERS]
+    return found.select(F.inline(F.array(*rows)))
+
+
 def answer(route: str, business: Business) -> DataFrame:
     return ANSWERS[route](business)
