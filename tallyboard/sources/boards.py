@@ -93,15 +93,6 @@ def scan_tables(spark: SparkSession, deals_path: str, work_orders_path: str) ->
     return Boards(scan_table(spark, deals_path, DEALS), scan_table(spark, work_orders_path, WORK_ORDERS))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a source that comes in so few splits that half the cores would idle, over all cores.
-
-    A source with enough splits, any large one, is left as it is and pays no shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
-
-
 def board_columns(items: DataFrame, board: str) -> DataFrame:
     """Column ids and titles of a board with the number of items that carry text under them."""
     cells = items.select(F.explode("column_values").alias("cell"))

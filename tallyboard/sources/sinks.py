@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,23 +28,47 @@ def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     )
 
 
+@cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """Folder of this process, removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="tallyboard-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own; the session is not changed.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tallyboard-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder().name
+
+
+_OPEN: list[list[str]] = []  # paths that each open `temporary_tables` block will remove
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tallyboard/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tallyboard/{name}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes what is stored inside the block when it ends: read or write a report's result within it."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage_table(rows: DataFrame, name: str) -> DataFrame:

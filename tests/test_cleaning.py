@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,14 @@ def test_clean_tables_push_filters_down(spark, tmp_path):
     assert "EqualTo(stage,Won)" in plan and "ReadSchema: struct<stage:string,value:double>" in plan
 
 
+def test_stored_tables_go_with_their_block(spark):
+    with sinks.temporary_tables(spark):
+        table = sinks.stage_table(spark.range(5), "numbers")
+        [path] = {os.path.dirname(f.replace("file://", "")) for f in table.inputFiles()}
+        assert table.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
 def test_staging_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     assert sinks.shared_folder(spark)
 
