@@ -40,8 +40,8 @@ class Rules:
 REPORT_RULES = Rules(weighted_value, probability_pct, is_delayed)
 BROWSER_RULES = Rules(weighted_value_interactive, probability_pct_interactive, is_delayed_interactive, "Unknown")
 
-_DEAL_KEYS = ("stage", "month", "bucket", "sector")
-_ORDER_KEYS = ("category", "sector", "assigned_to")
+DEAL_KEYS = ("stage", "month", "bucket", "sector")
+ORDER_KEYS = ("category", "sector", "assigned_to")
 
 
 def _section(keys: tuple[str, ...]) -> tuple[Column, Column]:
@@ -57,8 +57,10 @@ def _money(amount: Column, alias: str) -> Column:
     return money_sum(amount).alias(alias)
 
 
-def deal_cube(deals: DataFrame, as_of: AsOf, rules: Rules = REPORT_RULES) -> DataFrame:
-    """Deals by outcome and, in turn, stage, close month, probability bucket and sector.
+def deal_cube(
+    deals: DataFrame, as_of: AsOf, rules: Rules = REPORT_RULES, keys: tuple[str, ...] = DEAL_KEYS
+) -> DataFrame:
+    """Deals by outcome and, in turn, each of ``keys``: stage, close month, probability bucket, sector.
 
     ``(outcome, section, key, value, weighted, weighted_raw, quarter_value, deal_count,
     quarter_count, undated)``; sums are unrounded so that they can be added up further.
@@ -78,8 +80,8 @@ def deal_cube(deals: DataFrame, as_of: AsOf, rules: Rules = REPORT_RULES) -> Dat
         F.coalesce(in_quarter(day, as_of), F.lit(False)).alias("current"),
         day.isNull().alias("undated"),
     )
-    return rows.groupingSets([("outcome", key) for key in _DEAL_KEYS], "outcome", *_DEAL_KEYS).agg(
-        *_section(_DEAL_KEYS),
+    return rows.groupingSets([("outcome", key) for key in keys], "outcome", *keys).agg(
+        *_section(keys),
         _money(value, "value"),
         _money(F.col("weighted"), "weighted"),
         _money(F.col("weighted_raw"), "weighted_raw"),
@@ -87,11 +89,13 @@ def deal_cube(deals: DataFrame, as_of: AsOf, rules: Rules = REPORT_RULES) -> Dat
         F.count(F.lit(1)).alias("deal_count"),
         F.count_if(F.col("current")).alias("quarter_count"),
         F.count_if(F.col("undated")).alias("undated"),
-    ).drop(*_DEAL_KEYS)
+    ).drop(*keys)
 
 
-def order_cube(work_orders: DataFrame, as_of: AsOf, rules: Rules = REPORT_RULES) -> DataFrame:
-    """Work orders by delivery category, sector and assignee in turn.
+def order_cube(
+    work_orders: DataFrame, as_of: AsOf, rules: Rules = REPORT_RULES, keys: tuple[str, ...] = ORDER_KEYS
+) -> DataFrame:
+    """Work orders by each of ``keys`` in turn: delivery category, sector, assignee.
 
     ``(section, key, total, completed, in_progress, delayed)``
     """
@@ -104,10 +108,10 @@ def order_cube(work_orders: DataFrame, as_of: AsOf, rules: Rules = REPORT_RULES)
         (status == "In Progress").alias("in_progress"),
         rules.delayed(status, F.col("due_date"), as_of).alias("delayed"),
     )
-    return rows.groupingSets([(key,) for key in _ORDER_KEYS], *_ORDER_KEYS).agg(
-        *_section(_ORDER_KEYS),
+    return rows.groupingSets([(key,) for key in keys], *keys).agg(
+        *_section(keys),
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("completed")).alias("completed"),
         F.count_if(F.col("in_progress")).alias("in_progress"),
         F.count_if(F.col("delayed")).alias("delayed"),
-    ).drop(*_ORDER_KEYS)
+    ).drop(*keys)

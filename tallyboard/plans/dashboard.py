@@ -19,7 +19,11 @@ from tallyboard.operators.shapes import one_row, union_all
 from tallyboard.operators.work_orders import delivery_totals
 from tallyboard.plans import sections
 from tallyboard.plans.cubes import BROWSER_RULES, deal_cube, order_cube
-from tallyboard.sources.sinks import stage_table
+from tallyboard.sources.sinks import stage_tables
+
+# What the sections of a dashboard read of the cubes.
+DEAL_KEYS = ("stage", "month", "bucket")
+ORDER_KEYS = ("category",)
 
 
 def dashboard_kpis(deals: DataFrame, work_orders: DataFrame, as_of: AsOf) -> DataFrame:
@@ -46,9 +50,11 @@ def dashboard(
 
     The cubes and the ten largest deals are written once; every section reads those.
     """
-    deals_by = stage_table(deal_cube(deals, as_of), "deal-cube")
-    orders_by = stage_table(order_cube(work_orders, as_of), "order-cube")
-    top = stage_table(top_open_deals(deals), "top-deals")
+    deals_by, orders_by, top = stage_tables(
+        deal_cube=deal_cube(deals, as_of, keys=DEAL_KEYS),
+        order_cube=order_cube(work_orders, as_of, keys=ORDER_KEYS),
+        top_deals=top_open_deals(deals),
+    )
     return union_all(
         [
             sections.kpis(deals_by, orders_by, as_of, delayed="delayed_category"),
@@ -67,9 +73,11 @@ def filtered_dashboard(
     Delayed includes past-due orders, deals without a stage are shown as Unknown.
     """
     deals, work_orders = filter_deals(deals, filters), filter_work_orders(work_orders, filters)
-    deals_by = stage_table(deal_cube(deals, as_of, BROWSER_RULES), "deal-cube")
-    orders_by = stage_table(order_cube(work_orders, as_of, BROWSER_RULES), "order-cube")
-    top = stage_table(top_open_deals(deals), "top-deals")
+    deals_by, orders_by, top = stage_tables(
+        deal_cube=deal_cube(deals, as_of, BROWSER_RULES, DEAL_KEYS),
+        order_cube=order_cube(work_orders, as_of, BROWSER_RULES, ORDER_KEYS),
+        top_deals=top_open_deals(deals),
+    )
     shown = top.withColumn("name", labelled(F.nullif(F.col("name"), F.lit("")), "Unnamed Deal"))
     counted = deals_by.filter("section = 'stage'").agg(F.coalesce(F.sum("deal_count"), F.lit(0)).alias("all_deals"))
     return union_all(

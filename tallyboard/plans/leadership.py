@@ -14,7 +14,7 @@ from tallyboard.operators.work_orders import delayed_items
 from tallyboard.plans import sections
 from tallyboard.plans.cubes import deal_cube, order_cube
 from tallyboard.plans.dashboard import charts
-from tallyboard.sources.sinks import stage_table
+from tallyboard.sources.sinks import stage_tables
 
 
 def _overview(deals_by: DataFrame, orders_by: DataFrame) -> list[DataFrame]:
@@ -117,9 +117,9 @@ def leadership_summary(
 
     Each board is aggregated once; delayed orders are listed by a second, filtered scan.
     """
-    deals_by = stage_table(deal_cube(deals, as_of), "deal-cube")
-    orders_by = stage_table(order_cube(work_orders, as_of), "order-cube")
-    top = stage_table(top_open_deals(deals), "top-deals")
+    deals_by, orders_by, top = stage_tables(
+        deal_cube=deal_cube(deals, as_of), order_cube=order_cube(work_orders, as_of), top_deals=top_open_deals(deals)
+    )
     return union_all(
         [
             *_overview(deals_by, orders_by),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import cache
 
@@ -80,3 +81,9 @@ def stage_table(rows: DataFrame, name: str) -> DataFrame:
     path = fresh_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def stage_tables(**rows: DataFrame) -> list[DataFrame]:
+    """``stage_table`` of several frames that do not depend on each other, written at the same time."""
+    with ThreadPoolExecutor(max_workers=len(rows)) as pool:
+        return list(pool.map(stage_table, rows.values(), [name.replace("_", "-") for name in rows]))
