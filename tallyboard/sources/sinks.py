@@ -66,8 +66,8 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _OPEN.remove(paths)
-        for path in paths:
+        _OPEN[:] = [other for other in _OPEN if other is not paths]
+        for path in paths if spark.sparkContext._jsc else ():  # nothing can be removed through a session that has ended
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
