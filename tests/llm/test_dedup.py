@@ -42,7 +42,7 @@ def frame(spark, docs):
     return spark.createDataFrame([(d, t, "x", 1) for d, t in docs], DOCS).repartition(3)
 
 
-@pytest.mark.parametrize("limits", [(256, 1024), (3, 4)])
+@pytest.mark.parametrize("limits", [(8, 16, 1024), (1, 3, 4)])
 def test_ngram_join(spark, docs, limits):
     found = ngram_join.join_documents(frame(spark, docs), *limits)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()}
@@ -72,6 +72,9 @@ def test_sets_at_the_bound_share_a_signature():
             b = np.unique(np.concatenate((pool[:shared], pool[size : size + larger - shared])))
             assert ngram_join.linked(a, b) and ngram_join.linked(b, a)
             assert set(ngram_join.signatures(a).tolist()) & set(ngram_join.signatures(b).tolist())
+            every = np.concatenate((ngram_join.signatures(a), ngram_join.signatures(b))) & ngram_join.SIGNATURE
+            common = np.unique(rng.choice(every, len(every) // 2))  # any list of common ones leaves a shared signature
+            assert set(ngram_join.signatures(a, common).tolist()) & set(ngram_join.signatures(b, common).tolist())
 
 
 def test_suffix_array_and_prefixes():
