@@ -163,13 +163,13 @@ def predict(documents: DataFrame, forest: Forest, text: str = "text", threshold:
 def op5_quality(spark: SparkSession, sf_dir: str, rows_per_label: int = 8000) -> DataFrame:
     """Quality score of every document; learned from labels of documents whose crc32(doc_id) mod 4 is not 2.
 
-    At most about `rows_per_label` labelled documents of each label are used. A document with several different
+    At most about `rows_per_label` labelled documents of each label, 0 and 1, are used. A document with several different
     labels takes part with the smallest.
     """
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    labels = labels.filter(F.col("quality").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
+    labels = labels.filter(F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), 4) != 2))
     chosen = bounded_sample(labels.groupBy("doc_id").agg(F.min("quality").alias("quality")), "quality", "doc_id", rows_per_label)
-    forest = train(documents.join(chosen, "doc_id"))
+    forest = train(documents.join(F.broadcast(chosen), "doc_id"))  # two labels of about `rows_per_label` ids at most
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     return predict(documents, forest).select("doc_id", held_out.alias("held_out"), "score", "predicted")
