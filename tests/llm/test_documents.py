@@ -15,7 +15,6 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallyboard.llm import html_text, language_id, packing, quality, registry, sharding, vector_search
-from tallyboard.llm.common import stored
 from tallyboard.llm.token_ids import TokenIds
 
 SF = "/root/testdata/sf0.001"
@@ -249,7 +248,7 @@ def test_packing_round_trip(spark):
 # --- pipeline ---
 
 
-def test_pipeline_stages_against_plain_versions(spark):
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(900_001, None, None, None, None), (900_002, "", "en", "x", 0), (900_003, "1234 5678", "en", "x", 9)], docs.schema)
     docs = docs.unionByName(extra)
@@ -259,14 +258,19 @@ def test_pipeline_stages_against_plain_versions(spark):
     def texts(table):
         return [(r["doc_id"], r["text"]) for r in table.collect()]
 
-    kept = stored(stages["language_id"](spark, docs, SF), "test")
+    def written(table):
+        path = f"{tmp_path}/{len(list(tmp_path.iterdir()))}"
+        table.write.parquet(path)
+        return spark.read.parquet(path)
+
+    kept = written(stages["language_id"](spark, docs, SF))
     assert {d for d, _ in texts(docs)} - {d for d, _ in texts(kept)} == {900_001, 900_002, 900_003}
-    lined = stored(stages["line_dedup"](spark, kept, SF), "test")
+    lined = written(stages["line_dedup"](spark, kept, SF))
     before, wanted = dict(texts(kept)), without_repeated_lines(texts(kept))
     assert dict(texts(lined)) == {d: t for d, t in wanted.items() if t.strip() or t == before[d]}
-    single = stored(stages["ngram_jaccard"](spark, lined, SF), "test")
+    single = written(stages["ngram_jaccard"](spark, lined, SF))
     assert {d for d, _ in texts(single)} == {d for d, (_, c) in near_components(texts(lined)).items() if d == c}
-    clean = stored(stages["decontamination"](spark, single, SF), "test")
+    clean = written(stages["decontamination"](spark, single, SF))
     leaks = {d for d, _ in benchmark_matches(texts(single), items)}
     assert leaks and {d for d, _ in texts(clean)} == {d for d, _ in texts(single)} - leaks
     assert clean.columns == docs.columns
