@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,7 +68,8 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _OPEN[:] = [other for other in _OPEN if other is not paths]
-        for path in paths if spark.sparkContext._jsc else ():  # nothing can be removed through a session that has ended
+        ended = sys.is_finalizing() or not spark.sparkContext._jsc  # nothing can be removed through a session that is gone
+        for path in () if ended else paths:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
