@@ -103,8 +103,12 @@ def _order(rows: np.ndarray) -> np.ndarray:
 
 
 def _first_copies(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts sorted by anchor and print, and which of them come first among equal ones."""
+    """Contexts sorted by anchor and print, each place once, and which of them come first among equal ones."""
     rows = rows[_order(rows)]
+    again = np.ones(max(len(rows) - 1, 0), dtype=bool)  # rows of equal doc_id and text hold the same places
+    for name in ("anchor", "print", "doc", "row", "start"):
+        again &= rows[name][1:] == rows[name][:-1]
+    rows = rows[np.append(True, ~again)] if len(rows) else rows
     new = (rows["anchor"][1:] != rows["anchor"][:-1]) | (rows["print"][1:] != rows["print"][:-1])
     return rows, np.append(True, new) if len(rows) else new
 
@@ -324,6 +328,8 @@ def search_shard(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     for count in pieces["count"].tolist():
         texts.append(body[at : at + count + LENGTH - 1])
         at += count + LENGTH - 1
+    places = np.unique(pieces[["doc", "row", "start"]], return_index=True)[1]  # rows of equal doc_id and text send the same ones
+    pieces, texts = pieces[places], [texts[i] for i in places.tolist()]
     repeats, firsts = repeated_strings(pieces, texts)
     spans = _string_spans(pieces, repeats)
     out = list(_blobs((mix64(spans["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), spans, "span"))

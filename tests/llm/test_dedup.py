@@ -104,6 +104,17 @@ def test_suffix_dedup_edges(spark):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in found) == [("5", 150), ("5", 150), ("6", 150), ("None", 0)]
 
 
+@pytest.mark.parametrize("copies", [2, 5])
+def test_suffix_dedup_rows_of_one_document(spark, copies):
+    text = "".join(chr(65 + i * i % 57) for i in range(150))
+    found = suffix_dedup.remove_repeats(frame(spark, [(5, text)] * copies)).collect()
+    assert [(r["n_bytes"], r["n_removed"], r["kept"]) for r in found] == [(150, 0, text.encode())] * copies
+    packed = suffix_dedup.remove_repeats(frame(spark, [(5, text)] * copies).coalesce(1)).collect()  # all in one flush
+    assert [r["n_removed"] for r in packed] == [0] * copies
+    later = suffix_dedup.remove_repeats(frame(spark, [(5, text), (6, text)] * copies)).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in later) == [(5, 0)] * copies + [(6, 150)] * copies
+
+
 def test_simhash_of_short_long_and_very_long_lines(spark):
     rng = random.Random(1)
     lines = [" ".join(words(rng, n, 50)) for n in (1, 2, 254, 255, 256, 510, 600)]
