@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import Groups, benchmark_matches, near_components, simhash, without_repeated_lines, without_repeats
+from brute import Groups, benchmark_matches, edits, near_components, simhash, without_repeated_lines, without_repeats
 from pyspark.sql import functions as F
 
 from tallyboard.llm import decontamination, line_dedup, ngram_join, suffix_dedup
@@ -151,6 +151,33 @@ def test_line_dedup_edges(spark):
     assert shown == [("1", line, 2, 1), ("2", "", 1, 1), ("2", "", 1, 1), ("None", line, 1, 0)]
 
 
+def edited_lines(rng, letters):
+    """Lines of 8 to 40 words, each with as many words changed as a tenth of edits allows, or a letter in a tenth of its words."""
+    out = []
+    for n in [*range(8, 41)] * 4:
+        line = [rng.choice("aeiou") + "".join(rng.choices("bcdfglmnprst", k=rng.randrange(1, 8))) for _ in range(n)]
+        new = list(line)
+        for _ in range(max(1, n // 10) if letters else n):
+            at, tried = rng.randrange(n), list(new)
+            tried[at] = tried[at][:-1] + "z" if letters else "".join(rng.choices("hjkvwxyz", k=rng.randrange(2, 7)))
+            if edits(" ".join(line), " ".join(tried)) > min(len(" ".join(line)), len(" ".join(tried))) // 10:
+                break
+            new = tried
+        if new != line:
+            out.append((" ".join(line), " ".join(new)))
+    return out
+
+
+@pytest.mark.parametrize("letters", [False, True])
+def test_recall_of_similar_lines(spark, letters):
+    pairs = edited_lines(random.Random(6), letters)
+    rows = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    found = line_dedup.without_repeated_lines(frame(spark, rows), line_dedup.WIDE).filter("n_removed = 1").collect()
+    assert all(r["doc_id"] % 2 for r in found)  # of a pair the later one; nothing else is alike
+    print(f"recall of {len(pairs)} pairs: {len(found) / len(pairs):.3f}")
+    assert len(pairs) > 100 and len(found) >= 0.97 * len(pairs)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, " ".join(words(rng, n))) for i, n in enumerate((14, 20, 31, 59, 59, 5, 4))] + [(90, None), (91, ""), (None, "q r s t u v")]
