@@ -178,6 +178,17 @@ def test_recall_of_similar_lines(spark, letters):
     assert len(pairs) > 100 and len(found) >= 0.97 * len(pairs)
 
 
+def test_line_dedup_counts_words_of_repeated_rows_once(spark):
+    rng = random.Random(12)
+    line = words(rng, 100)
+    near = " ".join([*line[:50], "odd", *line[51:]])
+    lines = line_dedup.document_lines(frame(spark, [(1, " ".join(line))] * 4 + [(2, near)]))
+    shown = line_dedup.fingerprints(lines, "line_id", "row", "line_no").collect()
+    assert sorted({r["fingerprint"] for r in shown}) == sorted({simhash(line), simhash(near.split(" "))}) and len(shown) == 5
+    found = line_dedup.without_repeated_lines(frame(spark, [(1, " ".join(line))] * 4 + [(2, near)]), line_dedup.WIDE).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in found) == [(1, 0)] * 4 + [(2, 1)]
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [(i, " ".join(words(rng, n))) for i, n in enumerate((14, 20, 31, 59, 59, 5, 4))] + [(90, None), (91, ""), (None, "q r s t u v")]
