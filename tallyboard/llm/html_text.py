@@ -36,7 +36,7 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 WINDOW = 3  # lines that a window sums
-SURGE = 80  # characters in a window that make a surge, on pages without an article element
+SURGE = 80  # characters in a window that make a surge
 
 
 @dataclass
@@ -129,24 +129,20 @@ def page_lines(page: str) -> list[Line]:
 def main_lines(lines: list[Line]) -> list[str]:
     """Lines between the surge and the dive of the text lengths summed over sliding windows.
 
-    Furniture counts as length 0. On a page with article elements, so does all outside the one with most text, and any
-    length is a surge; elsewhere lines that are mostly links count as 0 and a surge takes `SURGE` characters, or a third
-    of the highest window where no window has as many.
+    Furniture counts as length 0. A surge takes `SURGE` characters in a window, or a third of the highest window where that
+    is less. On pages with article or main elements lines outside of them weigh nothing, unless no window inside reaches
+    `SURGE` and one of the whole page has as much for each of its lines. Elsewhere lines that are mostly links weigh nothing.
     """
     length = np.array([0 if line.furniture else len(line.text) for line in lines], dtype=np.int64)
-    article = np.array([line.article for line in lines], dtype=np.int64)
-    weight = np.bincount(article, length) if len(lines) else np.zeros(1)
-    level = 1.0
-    if weight[1:].any():
-        length[article != 1 + int(np.argmax(weight[1:]))] = 0
-    else:
-        length[[2 * line.linked > len(line.text) for line in lines]] = 0
-        level = 0.0
     if not length.any():
         return []
-    sums = np.convolve(length, np.ones(WINDOW, dtype=np.int64))  # windows ending at each line, and after the last
-    if not level:
-        level = min(SURGE, sums.max() / 3)
+    inside = length * [line.article > 0 for line in lines]
+    page = length * [2 * line.linked <= len(line.text) for line in lines]
+    # windows ending at each line, and after the last
+    in_articles, on_page = (np.convolve(x, np.ones(WINDOW, dtype=np.int64)) for x in (inside, page))
+    whole = not inside.any() or (in_articles.max() < SURGE and on_page.max() >= WINDOW * SURGE)
+    length, sums = (page, on_page) if whole else (inside, in_articles)
+    level = min(SURGE, sums.max() / 3)
     kept: list[str] = []
     start = 0
     while start < len(length):

@@ -164,6 +164,16 @@ def test_html_with_article_element():
     assert html_text.main_text(page) == "H\na b\nc\nd"
 
 
+def test_html_windows_decide_with_article_elements():
+    long = "A sentence of the text that is long enough to make a surge on its own, as paragraphs of articles are."
+    two = f"<body><p>x<article><p>{long}</article><nav>N</nav><p>y<p>y<p>y<p>y<article><p>{long}</article>"
+    assert html_text.main_text(two) == f"{long}\n{long}"
+    stray = f"<main><p>Read on</p><nav>N</nav><nav>N</nav><nav>N</nav><p>{long}<p>{long}<p>{long}</main>"
+    assert html_text.main_text(stray) == "\n".join([long] * 3)
+    teaser = f"<body><article><p>Teaser</article><nav>N</nav><nav>N</nav><nav>N</nav><div>{long}</div><div>{long}</div><div>{long}</div>"
+    assert html_text.main_text(teaser) == "\n".join([long] * 3)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<a href='x", "<p", "&", "<script>", "<!-- x", "<nav>menu</nav>", "</div></div>"])
 def test_html_pieces(page):
     assert html_text.main_text(page) in ("", "<", "<p", "&", "<a href='x")
