@@ -28,7 +28,8 @@ FURNITURE_WORDS = frozenset(
 )
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|canvas|textarea|math|audio|video)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"  # self-closed: empty
+    r"|<(?P<raw>script|style|noscript|template|iframe|svg|canvas|textarea|math|audio|video)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[a-z/!?][^>]*+>",
     re.IGNORECASE | re.DOTALL,

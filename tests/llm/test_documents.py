@@ -174,6 +174,12 @@ def test_html_windows_decide_with_article_elements():
     assert html_text.main_text(teaser) == "\n".join([long] * 3)
 
 
+@pytest.mark.parametrize("piece", ["<video-player>", "<audio-x src='a'>", "<template-card>", "<svg width='1'/>", "<svg/>", "<math />", "<SVG a='>'/>"])
+def test_html_elements_that_only_look_raw(piece):
+    assert html_text.main_text(f"<p>before</p>{piece}<p>after</p>") == "before\nafter"
+    assert html_text.main_text("<p>a</p><svg a='/'><text>no</text></svg><video\nsrc=x>no</video><p>b</p>") == "a\nb"
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<a href='x", "<p", "&", "<script>", "<!-- x", "<nav>menu</nav>", "</div></div>"])
 def test_html_pieces(page):
     assert html_text.main_text(page) in ("", "<", "<p", "&", "<a href='x")
