@@ -60,6 +60,15 @@ def test_ngram_join_edges(spark):
     assert {r["doc_id"] for r in kept.collect()} == {1, 2, 4} and kept.columns == ["doc_id", "text", "grp", "n_lines"]
 
 
+def test_one_per_component_keeps_rows_without_id(spark):
+    same = " ".join(f"v{i}" for i in range(40))
+    near = same.replace("v39", "other")
+    rows = [(None, "alone in its words here"), (None, same), (None, near), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None)]
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in ngram_join.one_per_component(frame(spark, rows)).collect())
+    assert len(kept) == 4 and kept[0] == ("7", "a b c d e f") and kept[1][1] == "None" and kept[2][1] == "alone in its words here"
+    assert kept[3][1] in (same, near)
+
+
 def test_sets_at_the_bound_share_a_signature():
     rng = np.random.default_rng(3)
     for size in [*range(1, 40), 127, 128, 700, 1023, 1024, 1365]:
