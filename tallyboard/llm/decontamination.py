@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -88,7 +89,8 @@ def match_text(text: str | None, index: ItemIndex, radius: int = RADIUS, similar
     if not isinstance(text, str) or not index.item_ids:
         return []
     known = index.vocabulary.get
-    words = np.array([known(w, -1) for w in WORD.findall(text.lower())], dtype=np.int64)
+    spelled = WORD.findall(text.lower())
+    words = np.array([known(w, -1) for w in spelled], dtype=np.int64)
     if len(words) < SHINGLE:
         return []
     bad = np.concatenate(([0], np.cumsum(words < 0)))
@@ -100,6 +102,9 @@ def match_text(text: str | None, index: ItemIndex, radius: int = RADIUS, similar
     runs = runs[index.shingles[np.minimum(place, len(index.shingles) - 1)] == codes[runs]]
     if not len(runs):
         return []
+    for i in np.flatnonzero(words < 0).tolist():  # only now: few texts come this far
+        words[i] = -1 - zlib.crc32(spelled[i].encode("utf-8", "replace"))
+    codes = _codes(words)
     hit = np.zeros(len(codes) + 1, dtype=np.int64)
     hit[runs + 1] = 1
     hit = np.cumsum(hit)

@@ -216,6 +216,22 @@ def test_decontamination(spark):
     assert decontamination.with_matches(spark.createDataFrame([], DOCS), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("size", [200, 400])
+def test_decontamination_of_long_items_with_a_replaced_run(size):
+    rng = random.Random(size)
+    missed = 0
+    for _ in range(20):
+        item = words(rng, size + 4, 1 << 30)
+        run = size // 7 - 6  # shingles of the item that are gone: run + 4
+        at = rng.randrange(5, size - run - 5)
+        text = " ".join([*item[:at], *(f"x{rng.randrange(1 << 30)}" for _ in range(run)), *item[at + run :]])
+        index = decontamination.index_items([(1, " ".join(item))])
+        found = decontamination.match_text(text, index)
+        assert not found or found[0][1] == pytest.approx((size - run - 4) / (size + run + 4))
+        missed += not found
+    assert missed == 0
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(5, 5), (None, 1)]
