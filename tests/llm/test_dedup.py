@@ -160,6 +160,18 @@ def test_line_dedup_edges(spark):
     assert shown == [("1", line, 2, 1), ("2", "", 1, 1), ("2", "", 1, 1), ("None", line, 1, 0)]
 
 
+def test_copies_do_not_live_on_as_their_short_lines(spark):
+    rng = random.Random(7)
+    long = [" ".join(words(rng, 20)) for _ in range(3)]
+    text = "\n".join(["Title", long[0], "Part two", long[1], "..."])
+    rows = [(1, text), (2, text), (3, text), (3, text), (4, text + "\nnew"), (5, text + "\nNew!"), (6, text + "\n" + long[2]), (7, "Title"), (None, text)]
+    found = line_dedup.without_copies(frame(spark, rows))
+    assert found.columns == ["doc_id", "text", "grp", "n_lines", "n_removed"]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in found.collect()) == [
+        ("1", text), ("4", "Title\nPart two\n...\nnew"), ("6", "Title\nPart two\n...\n" + long[2]), ("7", "Title"), ("None", text),
+    ]
+
+
 def edited_lines(rng, letters):
     """Lines of 8 to 40 words, each with as many words changed as a tenth of edits allows, or a letter in a tenth of its words."""
     out = []
