@@ -23,7 +23,7 @@ BEYOND = re.compile("[^\\x01-\\xff]")
 CACHED_WORDS = 400_000
 
 
-def _printed_bytes() -> dict[str, int]:
+def printed_bytes() -> dict[str, int]:
     """Character -> byte in a byte-level vocabulary: printable bytes stand for themselves, the others for 256 onwards."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
@@ -32,7 +32,7 @@ def _printed_bytes() -> dict[str, int]:
 
 def _merge_ranks(model: dict) -> dict[bytes, int] | None:
     """The vocabulary as merge ranks, if its merges are in the order of their ids; else None."""
-    to_byte = _printed_bytes()
+    to_byte = printed_bytes()
     vocab, merges = model.get("vocab", {}), model.get("merges", [])
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
     ids = [vocab.get(a + b, -1) for a, b in pairs]
