@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,9 +27,10 @@ BLOCK_BYTES = 1 << 20  # query text searched at once; more queries are searched
 GROUP_QUERIES = 256  # queries whose bounds are worked out together
 TEXT_BYTES = 4 << 20  # text cut into terms at once; a longer text stands alone
 LEAF = 32
-SHARD_ROWS = 8192
-SHARD_ENTRIES = 1 << 21
-PROBED_SHARDS = 16  # shards searched first, for the scores that all others must reach
+SHARD_ROWS = 2048
+SHARD_ENTRIES = 1 << 20
+PROBED_FILES = 16  # files of trees searched first, for the scores that all others must reach
+BOUND_CELLS = 1 << 20  # cells of the matrix of centroids that bounds are worked out from at once
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id, which comes last among equal scores
 HITS = "item int, item_id long, doc_id long, score long"
 # Of a UTF-8 byte: a letter lower-cased, a digit or a byte of a longer character itself, all others a space.
@@ -108,7 +110,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def build_tree(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, values: np.ndarray, scale: np.ndarray, leaf: int = LEAF) -> Tree:
     """Splits at the median between two far documents, down to `leaf` documents or to equal ones.
 
-    Every document has at least one term. `scale` is the weight of each term's axis in the geometry of the balls.
+    Every document has at least one term, every value is below a million. `scale` is the weight of each term's axis in the geometry of the balls.
     """
     start = np.cumsum(sizes) - sizes
     scaled = values * scale[terms]
@@ -149,8 +151,9 @@ def build_tree(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, values: np
                 child += [-1, -1]
         node += 1
     at = _ranges(start[order], sizes[order])
+    small = np.uint16 if len(scale) <= 1 << 16 else np.int32
     return Tree(
-        ids[order], np.concatenate([[0], np.cumsum(sizes[order])]), terms[at], values[at], np.array(begin), np.array(end), np.array(child),
+        ids[order], np.concatenate([[0], np.cumsum(sizes[order])]), terms[at].astype(small), values[at].astype(np.int32), np.array(begin), np.array(end), np.array(child),
         np.array(radius), np.cumsum([0, *(len(c[0]) for c in centroids)]), *(np.concatenate(x) for x in zip(*centroids)),
     )
 
@@ -179,7 +182,7 @@ def _values(n: np.ndarray, sizes: np.ndarray, tf: np.ndarray, weights: Weights)
 
 
 def build_index(vectors: DataFrame, weights: Broadcast, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """shard, tree: the ball trees, each of consecutive rows of one task. Documents without a term of any query are in none."""
+    """tree: the ball trees, each of consecutive rows of one task. Documents without a term of any query are in none."""
 
     def build(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
@@ -190,7 +193,7 @@ def build_index(vectors: DataFrame, weights: Broadcast, shard_rows: int = SHARD_
             sizes = np.array([len(t) for t in terms])
             values = _values(np.array(n), sizes, np.concatenate(tf), weights.value)
             blob = pickle.dumps(build_tree(np.array(ids), sizes, np.concatenate(terms), values, weights.value.scale), protocol=5)
-            return pd.DataFrame({"shard": [hash((ids[0], ids[-1], len(ids))) & 0x7FFFFFFF], "tree": [blob]})
+            return pd.DataFrame({"tree": [blob]})
 
         for part in parts:
             ids = [NO_ID if pd.isna(i) else int(i) for i in part["doc_id"]]
@@ -204,7 +207,7 @@ def build_index(vectors: DataFrame, weights: Broadcast, shard_rows: int = SHARD_
         if rows:
             yield tree()
 
-    return vectors.mapInPandas(build, "shard long, tree binary")
+    return vectors.mapInPandas(build, "tree binary")
 
 
 class Best:
@@ -250,7 +253,7 @@ class Group:
         radius times the norm of the query's terms that the node has."""
         nodes = len(tree.radius)
         out = np.empty((nodes, len(self.members)))
-        step = max(1, (1 << 22) // max(1, len(self.columns)))
+        step = max(1, BOUND_CELLS // len(self.columns))
         for lo in range(0, nodes, step):
             hi = min(nodes, lo + step)
             own = slice(tree.centroid_start[lo], tree.centroid_start[hi])
@@ -292,22 +295,23 @@ class Group:
 def _searched(trees: DataFrame, queries: Broadcast, weights: Broadcast, floors: Broadcast, k: int) -> DataFrame:
     """A task's k best documents of every query; what its first trees yield prunes the later ones."""
 
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = queries.value
         best = [Best(k, floor) for floor in floors.value]
         groups = [
             Group(asked, range(i, min(i + GROUP_QUERIES, len(asked.ids))), weights.value) for i in range(0, len(asked.ids), GROUP_QUERIES)
         ]
-        for part in parts:
-            for blob in part["tree"]:
-                tree = pickle.loads(blob)
+        for batch in batches:
+            for blob in batch.column("tree"):
+                tree = pickle.loads(blob.as_buffer())
                 for group in groups:
                     group.search(tree, best)
         rows = [(i, asked.ids[i], None if d == -NO_ID else -d, s) for i, found in enumerate(best) for s, d in found.heap]
-        columns = dict(zip(("item", "item_id", "doc_id", "score"), zip(*rows) if rows else ((),) * 4))
-        yield pd.DataFrame({c: pd.array(list(v), dtype="Int64") for c, v in columns.items()})
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = {"item": pa.int32(), "item_id": pa.int64(), "doc_id": pa.int64(), "score": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
-    return trees.select("tree").mapInPandas(search, HITS)
+    return trees.mapInArrow(search, HITS)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -324,16 +328,20 @@ def _search_block(docs: DataFrame, queries: Queries, k: int, shard_rows: int) ->
     df[holding["term"].to_numpy(np.int64)] = holding["count"].to_numpy(np.int64)
     weights = context.broadcast(term_weights(documents, terms, df))
     shared = context.broadcast(queries)
-    index = stored(build_index(vectors, weights, shard_rows), "ball-trees")
-    step = max(1, index.count() // PROBED_SHARDS)
-    probed = F.pmod(F.xxhash64("shard"), F.lit(step)) == 0
+    files = sorted(stored(build_index(vectors, weights, shard_rows), "ball-trees").inputFiles())
+    first = files[:: max(1, len(files) // PROBED_FILES)]
+    others = sorted(set(files) - set(first))
     floors = [(0, 0)] * len(queries.ids)
-    near = stored(_ranked(_searched(index.filter(probed), shared, weights, context.broadcast(floors), k), k), "first-hits")
-    if step == 1:
+
+    def trees(paths: list[str]) -> DataFrame:
+        return docs.sparkSession.read.schema("tree binary").parquet(*paths)
+
+    near = stored(_ranked(_searched(trees(first), shared, weights, context.broadcast(floors), k), k), "first-hits")
+    if not others:
         return near
     for row in near.filter(F.col("rank") == k).collect():  # at most one row a query
         floors[row["item"]] = (row["score"], -NO_ID if row["doc_id"] is None else -row["doc_id"])
-    rest = _searched(index.filter(~probed), shared, weights, context.broadcast(floors), k)
+    rest = _searched(trees(others), shared, weights, context.broadcast(floors), k)
     return _ranked(near.drop("rank").unionByName(rest), k)
 
 
