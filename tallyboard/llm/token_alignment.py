@@ -32,6 +32,7 @@ MAX_PAIRS = 1 << 22  # id pairs whose counts are broadcast at once, 17 bytes eac
 CACHED_WORDS = 400_000
 SIDE_BITS = 24  # of an id pair's code, for the second id
 WORD = re.compile(" +[^ ]*|[^ ]+")
+ALTERED = b"\xff"  # stands for the ids of a word that they do not spell; no ids are one byte long
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
@@ -56,9 +57,10 @@ class PieceIds:
         self.first = {" ": np.array([space], dtype=np.int32).tobytes()}  # a last space: the model gives an empty text no piece
         self.known = dict(self.first)
 
-    def encode(self, spaced: str) -> np.ndarray:
+    def encode(self, spaced: str) -> np.ndarray | None:
+        """None where the bytes of the ids are not those of the text."""
         if not self.by_word:
-            return np.array(self.model.encode(spaced[1:]), dtype=np.int32)
+            return _unaltered(np.array(self.model.encode(spaced[1:]), dtype=np.int32), self.bytes, spaced)
         if len(self.known) > CACHED_WORDS:
             self.known = dict(self.first)
         words = WORD.findall(spaced)
@@ -66,9 +68,14 @@ class PieceIds:
         if None in found:
             new = list({word for word, ids in zip(words, found) if ids is None})
             for word, ids in zip(new, self.model.encode([word[1:] for word in new], num_threads=1)):
-                self.known[word] = np.array(ids, dtype=np.int32).tobytes()
-            found = map(self.known.__getitem__, words)
-        return np.frombuffer(b"".join(found), dtype=np.int32)
+                kept = _unaltered(np.array(ids, dtype=np.int32), self.bytes, word)
+                self.known[word] = ALTERED if kept is None else kept.tobytes()
+            found = list(map(self.known.__getitem__, words))
+        return None if ALTERED in found else np.frombuffer(b"".join(found), dtype=np.int32)
+
+
+def _unaltered(ids: np.ndarray, listed: list[bytes], text: str) -> np.ndarray | None:
+    return ids if b"".join(map(listed.__getitem__, ids.tolist())) == text.encode() else None
 
 
 class Side(NamedTuple):
@@ -94,14 +101,11 @@ def sides(byte_file: str, piece_file: str) -> tuple[Side, Side]:
     listed = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         listed[i] = bytes(map(to_byte.get, token)) if all(c in to_byte for c in token) else token.encode()
-    return _side(a.encode, listed), _side(b.encode, b.bytes)
 
+    def encode(spaced: str) -> np.ndarray | None:  # merges of bytes alter nothing; other files are checked
+        return a.encode(spaced) if a.words else _unaltered(a.encode(spaced), listed, spaced)
 
-def _ids_of(side: Side, spaced: str, data: bytes) -> np.ndarray | None:
-    """Ids of a text, or none if their bytes are not the text's."""
-    ids = side.encode(spaced)
-    joined = b"".join(map(side.bytes.__getitem__, ids.tolist()))
-    return ids.astype(np.int64) if joined == data else None
+    return _side(encode, listed), _side(b.encode, b.bytes)
 
 
 def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,14 +185,11 @@ def align_texts(texts: list[str | None], a_side: Side, b_side: Side) -> dict[str
     for i, text in enumerate(texts):
         if not isinstance(text, str) or not text:
             continue
-        spaced = " " + text
-        data = spaced.encode()
-        a = _ids_of(a_side, spaced, data)
-        b = None if a is None else _ids_of(b_side, spaced, data)
-        if b is not None:
+        a, b = a_side.encode(" " + text), b_side.encode(" " + text)
+        if a is not None and b is not None:
             kept.append(i)
-            a_ids.append(a)
-            b_ids.append(b)
+            a_ids.append(a.astype(np.int64))
+            b_ids.append(b.astype(np.int64))
     if not kept:
         return rows
     n_a, n_b = np.array([len(x) for x in a_ids]), np.array([len(x) for x in b_ids])
