@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -84,20 +85,57 @@ def edits(a, b):
     return row[-1]
 
 
+def within(a, b, limit):
+    """Whether at most `limit` edits lead from a to b: the cells of the table near its diagonal, until all are beyond."""
+    row = {j: j for j in range(min(limit, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - limit), min(len(b), i + limit) + 1):
+            best = min(row.get(j, limit) + 1, new.get(j - 1, limit) + 1)
+            if j:
+                best = min(best, row.get(j - 1, limit + 1) + (x != b[j - 1]))
+            if best <= limit:
+                new[j] = best
+        if not new:
+            return False
+        row = new
+    return len(b) in row
+
+
+MIN_CHARS = 24
+
+
+def normalised(line):
+    return re.sub(r"[\W_]+", " ", line.lower()).strip(" ")
+
+
+def similar_pairs(norms):
+    """Pairs of lines whose edit distance is at most a tenth of the longer one, by trying all whose letters allow it."""
+    sizes = np.array([len(n) for n in norms])
+    letters = sorted(set("".join(norms)))
+    place = {c: i for i, c in enumerate(letters)}
+    counts = np.zeros((len(norms), len(letters)), dtype=np.int32)
+    for i, norm in enumerate(norms):
+        np.add.at(counts[i], [place[c] for c in norm], 1)
+    for i, norm in enumerate(norms):
+        rest = slice(i + 1, None)
+        differ = counts[rest] - counts[i]
+        least = np.maximum(np.maximum(differ, 0).sum(axis=1), np.maximum(-differ, 0).sum(axis=1))  # no edit distance is below
+        for j in np.flatnonzero(least <= np.maximum(sizes[rest], sizes[i]) // 10) + i + 1:
+            if within(norm, norms[j], max(len(norm), len(norms[j])) // 10):
+                yield norm, norms[j]
+
+
 def without_repeated_lines(docs):
     """{doc_id: text} without lines of which an equal or similar one comes first."""
-    places, prints, groups = [], {}, Groups()
+    places, groups = [], Groups()
     for doc_id, text in docs:
         for number, line in enumerate((text or "").split("\n")):
-            norm = re.sub(r"[\W_]+", " ", line.lower()).strip(" ")
-            if len(norm) >= 24:
+            norm = normalised(line)
+            if len(norm) >= MIN_CHARS:
                 places.append((doc_id, hash64(text.encode()), number, norm))
-                prints.setdefault(norm, simhash(norm.split(" ")))
-    norms = sorted(prints)
-    for i, a in enumerate(norms):
-        for b in norms[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and edits(a, b) <= max(len(a), len(b)) // 10:
-                groups.link(a, b)
+    for a, b in similar_pairs(sorted({p[-1] for p in places})):
+        groups.link(a, b)
     first = {}
     for *place, norm in places:
         group = groups.find(norm)
@@ -109,6 +147,22 @@ def without_repeated_lines(docs):
     return {d: t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in docs}
 
 
+def without_copies(docs):
+    """`without_repeated_lines` less the documents that lost lines and keep only short ones which others have."""
+    before, after = dict(docs), without_repeated_lines(docs)
+
+    def short(text):
+        return {n for n in map(normalised, text.split("\n")) if 0 < len(n) < MIN_CHARS}
+
+    left = {d: t for d, t in after.items() if t != before[d] and all(len(normalised(x)) < MIN_CHARS for x in t.split("\n"))}
+    others = {n for d, t in before.items() if d not in left and t for n in short(t)}
+    first = {}
+    for d in sorted(left, key=lambda d: (d, hash64(before[d].encode()))):
+        for norm in short(left[d]) - others:
+            first.setdefault(norm, d)
+    return {d: t for d, t in after.items() if d not in left or d in first.values()}
+
+
 def benchmark_matches(docs, items):
     """{(doc_id, item_id): similarity} of the best item-sized window, by trying all of them."""
     out = {}
