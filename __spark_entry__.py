@@ -21,7 +21,7 @@ from tallyboard.operators.shapes import union_all
 from tallyboard.plans import questions
 from tallyboard.plans.boards import staged_board
 from tallyboard.plans.dashboard import dashboard, dashboard_kpis, filtered_dashboard
-from tallyboard.schemas import DEALS_BOARD, WORK_ORDERS_BOARD
+from tallyboard.schemas import DEALS_BOARD, RAW_ITEM, WORK_ORDERS_BOARD, page_of
 from tallyboard.sources import boards, derived, sinks
 
 try:  # the corpus operators are optional; an error inside them is not swallowed
@@ -148,16 +148,33 @@ def _weighing(c: Callable[[str], Column]) -> tuple[Column, Column, Column]:
 
 
 def _landed(spark: SparkSession, sf_dir: str, board: str) -> str:
-    """Land a board as result pages."""
+    """Land a board as a chain of result pages."""
     path = sinks.fresh_path(spark, f"pages-{board}")
-    if board == "deals":
-        derived.land_pages(derived.deal_items(spark, sf_dir), F.col("seq"), path)
-    else:
-        order_key = F.substring_index("id", "-", 1).cast("long")
-        derived.land_pages(derived.work_order_items(spark, sf_dir), order_key, path)
+    items = derived.deal_items(spark, sf_dir) if board == "deals" else derived.work_order_items(spark, sf_dir)
+    derived.land_pages(items, F.col("seq"), path)
     return path
 
 
+def _page_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of both boards' pages."""
+    listed = (("Deals", "deals"), ("Work Orders", "work-orders"))
+    return union_all([boards.page_chain(spark, _landed(spark, sf_dir, name), board) for board, name in listed])
+
+
+def _damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages lost on the way: what is left of each page's items, and META with the number of pages that are missing.
+
+    Every seventh page and the last one are lost.
+    """
+    whole, path = _landed(spark, sf_dir, "deals"), sinks.fresh_path(spark, "pages-damaged")
+    pages = spark.read.schema(page_of(RAW_ITEM)).json(whole)
+    open_end = F.coalesce("data.next_items_page.cursor", F.get("data.boards", F.lit(0))["items_page"]["cursor"]).isNotNull()
+    pages.filter((F.col("page") % 7 != 3) & open_end).write.json(path)
+    left = boards.scan_board_pages(spark, path, skip_bad=True).groupBy(F.col("page").cast("string").alias("field")).count()
+    kept = left.select(F.lit("Deals").alias("board"), F.lit("page_items").alias("metric"), "field", "count")
+    return boards.page_meta(spark, path, "Deals").unionByName(kept)
+
+
 def _scan_board_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = boards.scan_board_pages(spark, _landed(spark, sf_dir, "deals"))
     last = F.element_at("column_values", -1)
@@ -351,6 +368,8 @@ def board_queries() -> dict[str, Query]:
         # sources and sinks
         "scan_board_pages": _scan_board_pages,
         "load_boards": _load_boards,
+        "page_chain": _page_chain,
+        "damaged_pages": _damaged_pages,
         "scan_tables": _scan_tables,
         "board_columns": _board_columns,
         "sample_items": _sample_items,

@@ -617,11 +617,23 @@ SELECT id, written, strftime(CASE
 FROM written"""
 
 ORACLES: dict[str, str] = {
-    "scan_board_pages": _raw("""SELECT seq AS page, id, name,
+    "scan_board_pages": _raw("""SELECT (row_number() OVER (ORDER BY seq) - 1) // 100 AS page, id, name,
         7 - 1 + CASE WHEN seq // 2 % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN seq // 2 % 11 = 0 THEN 1 ELSE 0 END AS cells,
         'Owner code' AS title, owner AS text FROM raw_deals"""),
     "load_boards": _raw("""SELECT 'Deals' AS board, id, name FROM raw_deals
         UNION ALL SELECT 'Work Orders', id, name FROM raw_orders"""),
+    "page_chain": _raw("""SELECT board, pages, 0::BIGINT AS least, pages - 1 AS greatest, 1::BIGINT AS first_pages,
+        1::BIGINT AS last_pages, 0::BIGINT AS missing_pages, 0::BIGINT AS repeated_pages, 0::BIGINT AS unreadable_pages
+        FROM (SELECT 'Deals' AS board, (count(*) + 99) // 100 AS pages FROM raw_deals
+          UNION ALL SELECT 'Work Orders', (count(*) + 99) // 100 FROM raw_orders)"""),
+    "damaged_pages": _raw("""SELECT 'Deals' AS board, 'page_items' AS metric, CAST(page AS VARCHAR) AS field, "count"
+        FROM (SELECT page, count(*) AS "count", max(page) OVER () AS last
+          FROM (SELECT (row_number() OVER (ORDER BY seq) - 1) // 100 AS page FROM raw_deals) GROUP BY page)
+        WHERE page % 7 <> 3 AND page < last
+        UNION ALL SELECT 'Deals', 'unreadable_pages', NULL, 0
+        UNION ALL SELECT 'Deals', 'missing_pages', NULL, 1 + count(DISTINCT page) FILTER (page % 7 = 3 AND page < kept)
+          FROM (SELECT page, max(page) FILTER (page % 7 <> 3 AND page < last) OVER () AS kept FROM (
+            SELECT DISTINCT (row_number() OVER (ORDER BY seq) - 1) // 100 AS page, (count(*) OVER () - 1) // 100 AS last FROM raw_deals))"""),
     "scan_tables": _clean("""SELECT id, value, strftime(close, '%Y-%m-%d') AS expected_close_date, NULL AS due_date
         FROM deals WHERE stage = 'Won'
         UNION ALL SELECT id, NULL, NULL, strftime(due, '%Y-%m-%d') FROM work_orders WHERE status = 'Delayed'"""),

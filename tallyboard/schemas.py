@@ -23,13 +23,13 @@ _TEXT = StringType()
 
 RAW_CELL = _struct(id=_TEXT, column=_struct(title=_TEXT), title=_TEXT, text=_TEXT, value=_TEXT)
 RAW_ITEM = _struct(id=_TEXT, name=_TEXT, column_values=ArrayType(RAW_CELL))
-_ITEM_LIST = _struct(cursor=_TEXT, items=ArrayType(RAW_ITEM))
 
-# One landed document: the first page of a board or a later one, with an optional ordinal.
-PAGE = _struct(
-    page=LongType(),
-    data=_struct(boards=ArrayType(_struct(items_page=_ITEM_LIST)), next_items_page=_ITEM_LIST),
-)
+
+def page_of(item: StructType) -> StructType:
+    """One landed document, the first page of a board or a later one, with its ordinal and items of the given fields."""
+    listed = _struct(cursor=_TEXT, items=ArrayType(item))
+    return _struct(page=LongType(), data=_struct(boards=ArrayType(_struct(items_page=listed)), next_items_page=listed))
+
 
 DEALS = _struct(
     id=_TEXT,

@@ -6,10 +6,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyboard.sources.sinks import stage_table
+
 AS_OF = "2000-07-27"
+PAGE_ITEMS = 100  # items of a landed result page
 
 # One message per index, over all routes, three ambiguous ones and a trap
 # ("stop" contains "top").
@@ -171,24 +174,35 @@ def work_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_work_orders(spark, sf_dir).selectExpr("seq", "id", "name", _cells(_ORDER_CELLS))
 
 
-def land_pages(items: DataFrame, page: Column, path: str) -> None:
-    """Write items as result pages of one item, numbered by ``page``.
+def land_pages(items: DataFrame, order: Column, path: str, page_items: int = PAGE_ITEMS) -> None:
+    """Write items as a chain of result pages of ``page_items`` each, in the given order.
 
-    Page 0 has the shape of a first page, the rest that of later ones. Nothing is grouped, so the
-    keys of the items may be as uneven as they like.
+    Page 0 has the shape of a first page, the rest that of later ones; all but the last hand on a cursor. The sorted items
+    are stored, and an item's number is its file's first one plus its place in the file: no window over the whole board.
     """
     cells = F.transform(
         "column_values",
         lambda c: F.struct(c["id"].alias("id"), F.struct(c["title"].alias("title")).alias("column"), c["text"], c["value"]),
     )
     item = F.struct("id", "name", cells.alias("column_values"))
-    listed = F.struct(F.lit(None).cast("string").alias("cursor"), F.array(item).alias("items"))
-    first = page == 0
+    stored = stage_table(items.orderBy(order).select(item.alias("item")), "sorted-items")
+    place = stored.select("item", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    files = place.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))  # a row for each file that a task wrote
+    before = F.sum("rows").over(Window.orderBy("file")) - F.col("rows")
+    files = files.select("file", before.alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    numbered = place.join(files, "file").withColumn("nth", F.col("before") + F.col("place"))
+    pages = numbered.groupBy(F.expr(f"nth div {page_items}").alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("nth", "item"))).alias("own"),  # at most `page_items`
+        F.first(F.expr(f"(total - 1) div {page_items}")).alias("last"),
+    )
+    cursor = F.when(F.col("page") < F.col("last"), F.concat(F.lit("after-"), "page"))
+    listed = F.struct(cursor.alias("cursor"), F.transform("own", lambda x: x["item"]).alias("items"))
+    first = F.col("page") == 0
     data = F.struct(
         F.when(first, F.array(F.struct(listed.alias("items_page")))).alias("boards"),
         F.when(~first, listed).alias("next_items_page"),
     )
-    items.select(page.alias("page"), data.alias("data")).write.json(path)
+    pages.select("page", data.alias("data")).write.json(path)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,8 +86,8 @@ def test_scan_orders_pages_and_lifts_titles(spark, tmp_path):
             {"id": "o", "title": "Owner", "text": "Ann", "value": None}]}
 
     first = {"data": {"boards": [{"items_page": {"cursor": "c", "items": [item(0), item(1)]}}]}}
-    later = {"data": {"next_items_page": {"cursor": None, "items": [item(2)]}}}
-    nothing = {"data": {"boards": []}}
+    later = {"data": {"next_items_page": {"cursor": "d", "items": [item(2)]}}}
+    nothing = {"data": {"next_items_page": {"cursor": None, "items": []}}}
     for n, page in enumerate((first, later, nothing)):
         page["page"] = n
         (tmp_path / f"page-{n:05d}.json").write_text(json.dumps(page, indent=1))
@@ -97,17 +97,25 @@ def test_scan_orders_pages_and_lifts_titles(spark, tmp_path):
     assert (flat.stage, flat.owner) == ("Lead", "Ann")
 
 
-def page_of(number, *ids):
-    items = [{"id": i, "name": "n", "column_values": []} for i in ids]
-    return {"page": number, "data": {"next_items_page": {"cursor": None, "items": items}}}
+def page_of(number, *ids, first=False, cursor=None):
+    items = {"cursor": cursor, "items": [{"id": i, "name": "n", "column_values": []} for i in ids]}
+    return {"page": number, "data": {"boards": [{"items_page": items}]} if first else {"next_items_page": items}}
+
+
+def landed(folder, *pages):
+    for i, page in enumerate(pages):
+        (folder / f"{i}.json").write_text(page if isinstance(page, str) else json.dumps(page))
+    return str(folder)
 
 
 def test_pages_in_order_of_their_ordinal(spark, tmp_path):
-    (tmp_path / "page-10.json").write_text(json.dumps(page_of(10, "a", "b")))
-    (tmp_path / "page-2.json").write_text(json.dumps(page_of(2, "b", "a")) + "\n" + json.dumps(page_of(3, "c")))
+    (tmp_path / "page-4.json").write_text(json.dumps(page_of(4, "a", "b")))
+    (tmp_path / "page-2.json").write_text(
+        json.dumps(page_of(2, "b", "a", first=True, cursor="x")) + "\n" + json.dumps(page_of(3, "c", cursor="y"))
+    )
     items = boards.scan_board_pages(spark, str(tmp_path))
     assert [(r.page, r.pos, r.id) for r in items.orderBy("seq").collect()] == [
-        (2, 0, "b"), (2, 1, "a"), (3, 0, "c"), (10, 0, "a"), (10, 1, "b"),
+        (2, 0, "b"), (2, 1, "a"), (3, 0, "c"), (4, 0, "a"), (4, 1, "b"),
     ]
     first = cleaning.dedupe_items(cleaning.flatten_items(items, DEALS_BOARD)).orderBy("seq").collect()
     assert [r.id for r in first] == ["b", "a", "c"]
@@ -119,18 +127,76 @@ def test_pages_in_order_of_their_ordinal(spark, tmp_path):
      '{"page": 1, "data": {"next_items_page": {"cursor": "c"}}}', '{"data": {"next_items_page": {"items": []}}}'],
 )
 def test_a_bad_page_fails_or_is_counted(spark, tmp_path, bad):
-    (tmp_path / "a.json").write_text(json.dumps(page_of(0, "a")))
-    (tmp_path / "b.json").write_text(bad)
+    path = landed(tmp_path, page_of(0, "a", first=True), bad)
     with pytest.raises(Exception, match="bad page"):
-        boards.scan_board_pages(spark, str(tmp_path)).collect()
-    assert [r.id for r in boards.scan_board_pages(spark, str(tmp_path), skip_bad=True).collect()] == ["a"]
-    assert boards.unreadable_pages(spark, str(tmp_path), "Deals").first()["count"] == 1
+        boards.scan_board_pages(spark, path).collect()
+    assert [r.id for r in boards.scan_board_pages(spark, path, skip_bad=True).collect()] == ["a"]
+    assert {r.metric: r["count"] for r in boards.page_meta(spark, path, "Deals").collect()} == {"unreadable_pages": 1, "missing_pages": 0}
+
+
+START, END = page_of(0, "a", first=True, cursor="x"), page_of(3, "d")
+MIDDLE = [page_of(1, "b", cursor="y"), page_of(2, "c", cursor="z")]
+
+
+@pytest.mark.parametrize(
+    ("pages", "missing", "left"),
+    [
+        ([START, MIDDLE[0], END], 1, "abd"),
+        ([START, END], 2, "ad"),
+        ([START, *MIDDLE], 1, "abc"),
+        ([*MIDDLE, END], 1, "bcd"),
+        ([MIDDLE[0]], 2, "b"),
+        ([START, *MIDDLE, '{"page": 3, "errors": []}'], 1, "abc"),
+    ],
+)
+def test_missing_pages_fail_or_are_counted(spark, tmp_path, pages, missing, left):
+    path = landed(tmp_path, *pages)
+    with pytest.raises(Exception, match="missing pages|bad page"):
+        boards.scan_board_pages(spark, path).collect()
+    items = boards.scan_board_pages(spark, path, skip_bad=True)
+    assert "".join(r.id for r in items.orderBy("seq").collect()) == left
+    assert boards.page_meta(spark, path, "Deals").filter("metric = 'missing_pages'").first()["count"] == missing
+
+
+@pytest.mark.parametrize(
+    ("pages", "told"),
+    [
+        ([START, *MIDDLE, END, MIDDLE[1]], "1 repeated page ordinals"),
+        ([START, page_of(1, "b", first=True, cursor="y"), MIDDLE[1], END], "2 first pages"),
+        ([START, page_of(1, "b"), MIDDLE[1], END], "a last page before page 3"),
+        ([START, page_of(1, "b"), MIDDLE[1]], "a last page before page 2"),
+    ],
+)
+@pytest.mark.parametrize("skip_bad", [False, True])
+def test_pages_that_are_no_chain_fail(spark, tmp_path, pages, told, skip_bad):
+    path = landed(tmp_path, *pages)
+    with pytest.raises(Exception, match=told):
+        boards.scan_board_pages(spark, path, skip_bad=skip_bad).select("id").collect()
+
+
+def test_a_whole_chain_and_an_empty_folder(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    path = landed(tmp_path, *MIDDLE, END, START)
+    chain = boards.page_chain(spark, path, "Deals").first()
+    assert (chain.pages, chain.least, chain.greatest, chain.missing_pages, chain.repeated_pages) == (4, 0, 3, 0, 0)
+    assert boards.scan_board_pages(spark, path).count() == 4
+    assert boards.scan_board_pages(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_landed_pages_are_a_chain_in_order(spark, tmp_path):
+    items = derived.deal_items(spark, SF)
+    for size in (7, 10_000):
+        path = str(tmp_path / str(size))
+        derived.land_pages(items, F.col("seq"), path, size)
+        found = boards.scan_board_pages(spark, path).orderBy("seq").collect()
+        assert [r.id for r in found] == [r.id for r in items.orderBy("seq").collect()]
+        assert max(r.pos for r in found) == min(size, len(found)) - 1
 
 
 def test_pretty_printed_pages_of_both_boards(spark, tmp_path):
     for name in ("deals", "orders"):
         (tmp_path / name).mkdir()
-        (tmp_path / name / "p.json").write_text(json.dumps(page_of(0, name), indent=2))
+        (tmp_path / name / "p.json").write_text(json.dumps(page_of(0, name, first=True), indent=2))
     both = boards.load_boards(spark, str(tmp_path / "deals"), str(tmp_path / "orders"), multi_line=True)
     assert (both.deals.first().id, both.work_orders.first().id) == ("deals", "orders")
 
