@@ -7,7 +7,6 @@ work orders from line items, parts and suppliers, messages from events.
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,8 +76,7 @@ def _business(spark: SparkSession, sf_dir: str) -> questions.Business:
 def _staged(spark: SparkSession, sf_dir: str) -> questions.Business:
     """Both boards cleaned once and stored, for reports that read them several times."""
     flat = ((derived.flat_deals(spark, sf_dir), DEALS_BOARD), (derived.flat_work_orders(spark, sf_dir), WORK_ORDERS_BOARD))
-    with ThreadPoolExecutor(max_workers=2) as pool:  # the boards do not depend on each other
-        deals_board, orders_board = pool.map(lambda x: staged_board(*x), flat)
+    deals_board, orders_board = sinks.in_parallel(staged_board, *zip(*flat))  # the boards do not depend on each other
     return questions.Business(
         AS_OF,
         deals=lambda: deals_board.rows,

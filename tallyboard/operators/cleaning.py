@@ -13,6 +13,8 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,14 +95,63 @@ def flatten_items(items: DataFrame, spec: BoardSpec) -> DataFrame:
     )
 
 
-def dedupe_items(flat: DataFrame) -> DataFrame:
-    """Keep the first row of each id by ``seq``.
+# Repeated ids that are broadcast, and their bytes; a board with more or longer ones is shuffled by id.
+REPEATED_IDS, ID_BYTES = 1 << 18, 256
 
-    The limit on the row number is applied before the shuffle too, so an id with very many
-    copies sends one row per input task.
+
+def repeated_ids(flat: DataFrame) -> DataFrame:
+    """``(id, copies, first, firsts)`` of ids met more than once: rows, least ``seq``, and rows that have it.
+
+    Only ids and places are shuffled, added up before that, so that neither a hot id nor a hot place gathers.
     """
+    places = flat.groupBy("id", "seq").agg(F.count(F.lit(1)).alias("n"))
+    ids = places.groupBy("id").agg(
+        F.sum("n").alias("copies"), F.min("seq").alias("first"), F.min_by("n", "seq").alias("firsts")
+    )
+    return ids.filter("copies > 1")
+
+
+def _limited(flat: DataFrame) -> DataFrame:
+    """First rows by a window; its limit works before the shuffle too, so a hot id sends one row per task."""
     order = Window.partitionBy("id").orderBy("seq")
-    return flat.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+    return flat.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+
+
+def _few_repeated(flat: DataFrame, limit: int) -> pa.Table | None:
+    """The repeated ids, if there are at most ``limit`` of at most ``ID_BYTES`` bytes."""
+    long = F.coalesce(F.octet_length("id") > ID_BYTES, F.lit(False))
+    found = repeated_ids(flat).select(F.when(~long, F.col("id")).alias("id"), "copies", "first", "firsts", long.alias("long"))
+    table = found.limit(limit + 1).toArrow()
+    return None if len(table) > limit or pc.any(table["long"]).as_py() else table.drop_columns("long")
+
+
+def first_rows(flat: DataFrame, limit: int = REPEATED_IDS) -> DataFrame:
+    """The first row of each id by ``seq``, with ``copies``, the number of rows the id has. For whole rows of a board.
+
+    A pass over ids and places alone, run at once, tells which ids repeat. Up to ``limit`` of them are broadcast and the rows
+    pass them where they are: a row of a unique id is neither shuffled nor sorted. With more, the rows are shuffled by id.
+    Where several rows of an id share the first place, any one of them is kept.
+    """
+    repeated = _few_repeated(flat, limit)
+    if repeated is None:
+        copies = repeated_ids(flat).select(F.col("id").alias("_id"), "copies")
+        kept = _limited(flat).join(copies, F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    elif not len(repeated):
+        kept = flat.withColumn("copies", F.lit(1))
+    else:
+        known = flat.sparkSession.createDataFrame(repeated.rename_columns(["_id", "copies", "_first", "_firsts"]))
+        seen = flat.join(F.broadcast(known), F.col("id").eqNullSafe(F.col("_id")), "left")
+        first = F.col("seq").eqNullSafe(F.col("_first"))
+        kept = seen.filter(F.col("copies").isNull() | (first & (F.col("_firsts") == 1)))
+        if pc.max(repeated["firsts"]).as_py() > 1:
+            kept = kept.unionByName(_limited(seen.filter(first & (F.col("_firsts") > 1))))
+        kept = kept.drop("_id", "_first", "_firsts")
+    return kept.withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
+
+
+def dedupe_items(flat: DataFrame, limit: int = REPEATED_IDS) -> DataFrame:
+    """Keep the first row of each id by ``seq``; only ids that repeat are looked up, see ``first_rows``."""
+    return first_rows(flat, limit).drop("copies")
 
 
 def _cased(flat: DataFrame, spec: BoardSpec, *others: str | Column) -> DataFrame:
@@ -131,7 +182,8 @@ def clean_rows(flat: DataFrame, spec: BoardSpec, as_of: AsOf = SHORT_YEARS_AROUN
 
 
 def clean_flat(flat: DataFrame, spec: BoardSpec, as_of: AsOf = SHORT_YEARS_AROUND) -> DataFrame:
-    return clean_rows(dedupe_items(flat), spec, as_of)
+    """Clean rows for one question, wholly lazy: only the columns it uses are shuffled by id."""
+    return clean_rows(_limited(flat), spec, as_of)
 
 
 def _is_missing(spec: BoardSpec, field: str, as_of: AsOf) -> Column:
@@ -169,18 +221,12 @@ def clean_marked(flat: DataFrame, spec: BoardSpec, as_of: AsOf = SHORT_YEARS_ARO
     """Clean rows that also carry the marks META is counted from, all in one pass over the board.
 
     For boards that are stored: ``copies``, ``seq``, ``missing`` and ``titles_present`` stand
-    beside the clean columns. The first row of an id is kept by an aggregate, which combines
-    copies before the shuffle, so an id with very many of them stays cheap.
+    beside the clean columns.
     """
-    whole = F.struct("name", *spec.fields, "titles_present")
-    firsts = flat.groupBy("id").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("seq").alias("seq"), F.min_by(whole, "seq").alias("kept")
-    )
+    firsts = first_rows(flat.select("id", "seq", "name", *spec.fields, "titles_present"))
     marks = ["copies", "seq", "titles_present"]
     parsed = {f"text_of_{field}": F.col(field) for field in spec.numeric + spec.dates}
-    typed = _cased(
-        firsts.select("id", "copies", "seq", "kept.*").withColumns(parsed), spec, *marks, *parsed
-    ).select("id", "name", *[_cleaned(f, spec, as_of) for f in spec.fields], *marks, *parsed)
+    typed = _cased(firsts.withColumns(parsed), spec, *marks, *parsed).select("id", "name", *[_cleaned(f, spec, as_of) for f in spec.fields], *marks, *parsed)
 
     def missing(field: str) -> Column:
         if field in spec.dates:
@@ -237,6 +283,9 @@ def missing_columns_union(*metas: DataFrame) -> DataFrame:
 
 
 def clean_board(items: DataFrame, spec: BoardSpec, as_of: AsOf = SHORT_YEARS_AROUND) -> CleanBoard:
-    """The whole pipeline; both frames are lazy and independent of each other."""
-    flat = flatten_items(items, spec)
-    return CleanBoard(clean_flat(flat, spec, as_of), board_meta(flat, spec, as_of))
+    """The whole pipeline: whole rows, and META counted from the same marked rows.
+
+    Both are read from the board in one pass each; to have them in one together, store them with ``staged_board``.
+    """
+    marked = clean_marked(flatten_items(items, spec), spec, as_of)
+    return CleanBoard(marked.select("id", "name", *spec.fields), meta_of_marks(marked, spec))

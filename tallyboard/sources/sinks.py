@@ -5,9 +5,10 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,29 +50,59 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder().name
 
 
-_OPEN: list[list[str]] = []  # paths that each open `temporary_tables` block will remove
+class StoredTables:
+    """Owns the tables that are stored while it is entered, by this thread or by work it hands on with ``in_parallel``.
+
+    Leaving it keeps them; ``close`` removes them. Tables stored elsewhere are never its own.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self._entered = spark, [], []
+
+    def __enter__(self) -> StoredTables:
+        self._entered.append(_OWNER.set(self))
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OWNER.reset(self._entered.pop())
+
+    def close(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
+_OWNER: ContextVar[StoredTables | None] = ContextVar("owner of what is stored", default=None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/tallyboard/{name}-{uuid.uuid4().hex}"
-    for paths in _OPEN:
-        paths.append(path)
+    if owner := _OWNER.get():
+        owner.paths.append(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    if not sys.is_finalizing() and spark.sparkContext._jsc:  # nothing can be removed through a session that is gone
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
-def temporary_tables(spark: SparkSession) -> Iterator[None]:
+def temporary_tables(spark: SparkSession) -> Iterator[StoredTables]:
     """Removes what is stored inside the block when it ends: read or write a report's result within it."""
-    paths: list[str] = []
-    _OPEN.append(paths)
+    owner = StoredTables(spark)
     try:
-        yield
+        with owner:
+            yield owner
     finally:
-        _OPEN[:] = [other for other in _OPEN if other is not paths]
-        ended = sys.is_finalizing() or not spark.sparkContext._jsc  # nothing can be removed through a session that is gone
-        for path in () if ended else paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        owner.close()
+
+
+def in_parallel(function: Callable, *arguments: Iterable) -> list:
+    """``map`` over threads; what they store belongs to the caller's block."""
+    calls = list(zip(*arguments))
+    with ThreadPoolExecutor(max_workers=max(1, len(calls))) as pool:
+        return [f.result() for f in [pool.submit(copy_context().run, function, *call) for call in calls]]
 
 
 def stage_table(rows: DataFrame, name: str) -> DataFrame:
@@ -87,5 +118,4 @@ def stage_table(rows: DataFrame, name: str) -> DataFrame:
 
 def stage_tables(**rows: DataFrame) -> list[DataFrame]:
     """``stage_table`` of several frames that do not depend on each other, written at the same time."""
-    with ThreadPoolExecutor(max_workers=len(rows)) as pool:
-        return list(pool.map(stage_table, rows.values(), [name.replace("_", "-") for name in rows]))
+    return in_parallel(stage_table, rows.values(), [name.replace("_", "-") for name in rows])

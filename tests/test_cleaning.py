@@ -6,6 +6,8 @@ import csv
 import glob
 import json
 import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,11 +67,45 @@ def skewed(spark, n=20000):
     )
 
 
-def test_dedupe_limits_a_hot_id_before_the_shuffle(spark):
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unique_ids_are_neither_shuffled_nor_sorted(spark):
     first = cleaning.dedupe_items(skewed(spark))
-    plan = first._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+    plan = plan_of(first)
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1 and "Sort" not in plan and "Window" not in plan
     assert first.filter("id = 'hot'").first().value == "19998"
+    unique = cleaning.dedupe_items(skewed(spark).filter("id <> 'hot'"))
+    assert "Exchange" not in plan_of(unique) and unique.count() == 20000 - len(range(0, 20000, 3))
+
+
+def test_many_repeated_ids_are_limited_before_the_shuffle(spark):
+    first = cleaning.dedupe_items(skewed(spark), limit=0)
+    assert plan_of(first).count("WindowGroupLimit") == 2 and "Partial" in plan_of(first)
+    assert first.filter("id = 'hot'").first().value == "19998"
+
+
+@pytest.mark.parametrize("limit", [cleaning.REPEATED_IDS, 2])
+def test_first_rows_count_copies_and_break_ties(spark, limit):
+    rows = [(3, "a", "x"), (1, "a", "y"), (2, "b", "z"), (5, "c", "p"), (5, "c", "q"), (5, "c", "r"), (6, "c", "s"),
+            (4, None, "n"), (7, None, "m"), (8, "", "e")]
+    flat = spark.createDataFrame(rows, "seq long, id string, text string").repartition(4)
+    found = {r.id: (r.seq, r.text, r.copies) for r in cleaning.first_rows(flat, limit).collect()}
+    assert found.pop("c") in [(5, t, 4) for t in "pqr"]
+    assert found == {"a": (1, "y", 2), "b": (2, "z", 1), None: (4, "n", 2), "": (8, "e", 1)}
+    assert cleaning.first_rows(flat, limit).count() == 5
+    assert cleaning.first_rows(flat.limit(0), limit).count() == 0
+    long = flat.withColumn("id", F.repeat("id", 300))
+    assert {r.copies for r in cleaning.first_rows(long, limit).collect()} == {1, 2, 4} and cleaning.first_rows(long, limit).count() == 5
+
+
+def test_marks_under_skew(spark):
+    marked = cleaning.clean_marked(skewed(spark), DEALS_BOARD)
+    hot = marked.filter("id = 'hot'").first()
+    assert (hot.copies, hot.value, hot.seq) == (len(range(0, 20000, 3)), 19998.0, 2)
+    meta = {(r.metric, r.field): r["count"] for r in cleaning.meta_of_marks(marked, DEALS_BOARD).collect()}
+    assert meta == {(r.metric, r.field): r["count"] for r in cleaning.board_meta(skewed(spark), DEALS_BOARD).collect()}
 
 
 def test_meta_counts_under_skew(spark):
@@ -247,6 +283,42 @@ def test_stored_tables_go_with_their_block(spark):
     assert not os.path.exists(path)
 
 
+def place_of(table):
+    [path] = {os.path.dirname(f.replace("file://", "")) for f in table.inputFiles()}
+    return path
+
+
+def test_blocks_remove_only_what_is_theirs(spark):
+    before = sinks.stage_table(spark.range(3), "mine")
+    with sinks.temporary_tables(spark):
+        outer = sinks.stage_table(spark.range(4), "outer")
+        with sinks.temporary_tables(spark):
+            [inner, other] = sinks.stage_tables(inner=spark.range(5), other=spark.range(6))
+        kept = sinks.StoredTables(spark)
+        with kept:
+            held = sinks.stage_table(spark.range(7), "held")
+        assert outer.count() == 4 and held.count() == 7
+        assert not os.path.exists(place_of(inner)) and not os.path.exists(place_of(other))
+    assert before.count() == 3 and held.count() == 7 and not os.path.exists(place_of(outer))
+    kept.close()
+    assert not os.path.exists(place_of(held)) and before.count() == 3
+
+
+def test_blocks_of_two_threads(spark):
+    def work(n, first, second):
+        with sinks.temporary_tables(spark):
+            table = sinks.stage_table(spark.range(n), f"thread-{n}")
+            first.set()
+            second.wait(60)
+            return table.count(), place_of(table)
+
+    events = threading.Event(), threading.Event()
+    with ThreadPoolExecutor(2) as pool:
+        jobs = [pool.submit(work, 5, events[0], events[1]), pool.submit(work, 6, events[1], events[0])]
+        found = [job.result() for job in jobs]
+    assert [n for n, _ in found] == [5, 6] and not any(os.path.exists(path) for _, path in found)
+
+
 def test_staging_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     assert sinks.shared_folder(spark)
 
