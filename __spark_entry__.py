@@ -99,6 +99,10 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select(*shown)
 
 
+def _marked_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean_marked(derived.flat_deals(spark, sf_dir), DEALS_BOARD)
+
+
 def _of_deals(operator: Callable[..., DataFrame], *args) -> Query:
     return lambda spark, sf_dir: _shown(operator(_deals(spark, sf_dir), *args))
 
@@ -193,9 +197,8 @@ def _scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     _deals(spark, sf_dir).write.parquet(deals_path)
     _orders(spark, sf_dir).write.parquet(orders_path)
     tables = boards.scan_tables(spark, deals_path, orders_path)
-    return _shown(tables.deals.filter("stage = 'Won'").select("id", "value", "expected_close_date")).unionByName(
-        _shown(tables.work_orders.filter("status = 'Delayed'").select("id", "due_date")), allowMissingColumns=True
-    )
+    both = tables.deals.withColumn("board", F.lit("Deals")), tables.work_orders.withColumn("board", F.lit("Work Orders"))
+    return _shown(both[0]).unionByName(_shown(both[1]), allowMissingColumns=True)
 
 
 def _board_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,13 +220,24 @@ def _write_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(spark.read.schema(rows.schema).json(path))
 
 
-def _write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _exported(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows as the file has them: all text, empty for null."""
     path = sinks.fresh_path(spark, "export")
-    sinks.write_csv(filter_work_orders(_orders(spark, sf_dir), DashboardFilters(wo_status="In Progress")), path)
-    columns = "id string, name string, status string, start_date string, due_date string, sector string, assigned_to string"
+    sinks.write_csv(rows, path)
+    columns = ", ".join(f"{name} string" for name in rows.columns)
     return spark.read.schema(columns).option("header", True).option("escape", '"').csv(path)
 
 
+def _write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exported(spark, filter_work_orders(_orders(spark, sf_dir), DashboardFilters(wo_status="In Progress")))
+
+
+def _write_csv_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered deals as the report exports them; amounts are compared as numbers."""
+    rows = _exported(spark, filter_deals(_deals(spark, sf_dir), FILTERS))
+    return rows.withColumns({name: F.col(name).cast("double") for name in ("value", "probability")})
+
+
 # --- cleaning ---
 
 
@@ -330,14 +344,13 @@ def _leadership_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.answer("leadership_summary", _staged(spark, sf_dir))
 
 
-def _with_deals_meta(operator: Callable[..., DataFrame], *args) -> Query:
-    return lambda spark, sf_dir: operator(_deals(spark, sf_dir), _deals_meta(spark, sf_dir), *args)
+def _of_marked(operator: Callable[..., DataFrame], *args) -> Query:
+    return lambda spark, sf_dir: operator(_marked_deals(spark, sf_dir), *args)
 
 
 def _data_quality_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = filter_deals(_deals(spark, sf_dir), DashboardFilters(search="order 1"))
     late = filter_work_orders(_orders(spark, sf_dir), DashboardFilters(search="wo 1"))
-    return _shown(quality.data_quality_filtered(found, late, _deals_meta(spark, sf_dir)))
+    return _shown(quality.data_quality_filtered_marked(_marked_deals(spark, sf_dir), DashboardFilters(search="order 1"), late))
 
 
 def _insights_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,6 +386,7 @@ def board_queries() -> dict[str, Query]:
         "sample_items": _sample_items,
         "write_records": _write_records,
         "write_csv": _write_csv,
+        "write_csv_deals": _write_csv_deals,
         # cleaning
         "flatten_items": _flatten_items,
         "alias_resolution": _alias_resolution,
@@ -486,9 +500,9 @@ def board_queries() -> dict[str, Query]:
         "missing_data_notes": _of_metas(quality.missing_data_notes),
         "data_completeness": _of_metas(quality.data_completeness),
         "value_complete": lambda spark, sf_dir: quality.value_complete(_deals_meta(spark, sf_dir)),
-        "forecast_confidence": _with_deals_meta(quality.forecast_confidence),
+        "forecast_confidence": _of_marked(quality.forecast_confidence_marked),
         "forecast_confidence_filtered": _forecast_confidence_filtered,
-        "insights": _with_deals_meta(quality.insights, AS_OF),
+        "insights": _of_marked(quality.insights_marked, AS_OF),
         "insights_filtered": _insights_filtered,
         # reports
         "dashboard_kpis": _of_both(dashboard_kpis, AS_OF),

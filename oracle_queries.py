@@ -616,6 +616,20 @@ SELECT id, written, strftime(CASE
     WHEN kind IN (12, 13) THEN NULL ELSE CAST(day AS DATE) END, '%Y-%m-%d') AS parsed
 FROM written"""
 
+# Fields of each board's specification that have no title on the first item of the other board.
+_ABSENT = f"""{_RAW}, {_CELLS},
+titles(board, field, title) AS (VALUES
+  ('Deals', 'sector', 'Sector'), ('Deals', 'sector', 'Sector/service'), ('Deals', 'sector', 'service'), ('Deals', 'stage', 'Stage'),
+  ('Deals', 'stage', 'Deal Stage'), ('Deals', 'value', 'Value'), ('Deals', 'value', 'Deal Value'), ('Deals', 'value', 'Masked Deal value'),
+  ('Deals', 'probability', 'Probability'), ('Deals', 'expected_close_date', 'Expected Close Date'), ('Deals', 'owner', 'Owner'),
+  ('Deals', 'owner', 'Owner code'), ('Work Orders', 'status', 'Status'), ('Work Orders', 'start_date', 'Work Order Date'),
+  ('Work Orders', 'due_date', 'Due Date'), ('Work Orders', 'sector', 'Sector'), ('Work Orders', 'sector', 'Sector/service'),
+  ('Work Orders', 'assigned_to', 'Assignee'), ('Work Orders', 'assigned_to', 'Assigned To')),
+first_titles AS (SELECT board, lower(trim(title)) AS title FROM cells
+  QUALIFY dense_rank() OVER (PARTITION BY board ORDER BY seq, shipped, part, supp, price) = 1),
+absent AS (SELECT t.board, t.field FROM titles t LEFT JOIN first_titles f ON f.board <> t.board AND f.title = lower(t.title)
+  GROUP BY 1, 2 HAVING count(f.title) = 0)"""
+
 ORACLES: dict[str, str] = {
     "scan_board_pages": _raw("""SELECT (row_number() OVER (ORDER BY seq) - 1) // 100 AS page, id, name,
         7 - 1 + CASE WHEN seq // 2 % 13 = 0 THEN 1 ELSE 0 END + CASE WHEN seq // 2 % 11 = 0 THEN 1 ELSE 0 END AS cells,
@@ -634,23 +648,25 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'Deals', 'missing_pages', NULL, 1 + count(DISTINCT page) FILTER (page % 7 = 3 AND page < kept)
           FROM (SELECT page, max(page) FILTER (page % 7 <> 3 AND page < last) OVER () AS kept FROM (
             SELECT DISTINCT (row_number() OVER (ORDER BY seq) - 1) // 100 AS page, (count(*) OVER () - 1) // 100 AS last FROM raw_deals))"""),
-    "scan_tables": _clean("""SELECT id, value, strftime(close, '%Y-%m-%d') AS expected_close_date, NULL AS due_date
-        FROM deals WHERE stage = 'Won'
-        UNION ALL SELECT id, NULL, NULL, strftime(due, '%Y-%m-%d') FROM work_orders WHERE status = 'Delayed'"""),
+    "scan_tables": _clean("""SELECT 'Deals' AS board, id, name, sector, stage, value, probability,
+          strftime(close, '%Y-%m-%d') AS expected_close_date, owner, NULL AS status, NULL AS start_date, NULL AS due_date,
+          NULL AS assigned_to FROM deals
+        UNION ALL SELECT 'Work Orders', id, name, sector, NULL, NULL, NULL, NULL, NULL, status, strftime(start, '%Y-%m-%d'),
+          strftime(due, '%Y-%m-%d'), assigned_to FROM work_orders"""),
     "board_columns": f"""WITH {_RAW}, {_CELLS} SELECT board, 'col_' || replace(lower(title), ' ', '_') AS column_id,
         trim(title) AS title, count(*) FILTER (trim(text) <> '') AS items_with_value FROM cells GROUP BY 1, 2, 3""",
     "sample_items": f"""WITH {_RAW}, {_CELLS} SELECT board, id, name, title, text, '"' || text || '"' AS value FROM cells
         QUALIFY dense_rank() OVER (PARTITION BY board ORDER BY seq, shipped, part, supp, price) <= 3""",
     "write_records": _clean(_CLEAN_DEALS),
     "write_csv": _clean(_CLEAN_ORDERS + " WHERE status = 'In Progress'"),
+    "write_csv_deals": f"""WITH {_FILTERED} SELECT id, name, sector, stage, value, probability,
+        strftime(close, '%Y-%m-%d') AS expected_close_date, owner FROM found""",
     "flatten_items": _raw("""SELECT seq, id, name, trim(sector) AS sector, trim(stage) AS stage, trim(value) AS value,
         trim(probability) AS probability, trim(expected_close_date) AS expected_close_date, trim(owner) AS owner,
         CAST(63 AS BIGINT) AS titles_present FROM raw_deals"""),
     "alias_resolution": _raw("SELECT seq, trim(sector) AS sector, trim(stage) AS stage, trim(owner) AS owner FROM raw_deals"),
-    "missing_columns": """SELECT 'Deals' AS board, f AS field FROM (VALUES ('stage'), ('value'), ('probability'),
-        ('expected_close_date'), ('owner')) t(f)""",
-    "missing_columns_union": """SELECT f AS field FROM (VALUES ('stage'), ('value'), ('probability'),
-        ('expected_close_date'), ('owner'), ('status'), ('start_date'), ('due_date'), ('assigned_to')) t(f)""",
+    "missing_columns": f"WITH {_ABSENT} SELECT board, field FROM absent WHERE board = 'Deals'",
+    "missing_columns_union": f"WITH {_ABSENT} SELECT DISTINCT field FROM absent",
     "dedupe_items": _clean("SELECT id, strftime(l_shipdate, '%Y-%m-%d') AS ship_date, due_date FROM first_orders"),
     "normalize_text": _raw(
         f"SELECT seq, {_filled('sector')} AS sector, {_filled('owner')} AS owner, {_filled('value')} AS value FROM raw_deals"
@@ -735,7 +751,9 @@ ORACLES: dict[str, str] = {
         ELSE 'Critical' END AS label FROM quality"""),
     "quality_overall": _meta("""SELECT bool_and(status = 'green') AS all_healthy, CASE WHEN bool_or(status = 'red')
         THEN 'Critical' WHEN bool_or(status = 'yellow') THEN 'Warning' ELSE 'Healthy' END AS label FROM quality"""),
-    "missing_data_notes": _meta("SELECT * FROM notes"),
+    "missing_data_notes": _meta("""SELECT row_number() OVER (ORDER BY board, field IS NULL, coalesce(list_position(
+          ['sector', 'stage', 'value', 'probability', 'expected_close_date', 'owner'], field) + CASE WHEN board = 'Deals' THEN 0 END,
+          list_position(['status', 'start_date', 'due_date', 'sector', 'assigned_to'], field)))::INT AS rank, * FROM notes"""),
     "data_completeness": _meta("SELECT count(*) = 0 AS is_complete FROM meta WHERE metric = 'missing_field'"),
     "value_complete": _meta("SELECT count(*) = 0 AS is_complete FROM meta WHERE board = 'Deals' AND field = 'value'"),
     "forecast_confidence": _meta(f"""SELECT CASE WHEN pct = 0 THEN 'High' WHEN pct <= 30 THEN 'Medium' ELSE 'Low' END

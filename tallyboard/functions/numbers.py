@@ -41,3 +41,25 @@ def money_total(amount: Column) -> Column:
     """
     exact, rest = _sums(amount)
     return F.coalesce(F.round(exact, 2).cast("double"), F.lit(0.0)) + F.coalesce(rest, F.lit(0.0))
+
+
+def money_parts(amount: Column) -> dict[str, Column]:
+    """Sums of a part of the rows, for ``money_of_parts`` to add up without loss."""
+    exact, rest = _sums(amount)
+    return {"exact": exact, "rest": rest}
+
+
+def money_of_parts(rounded: bool = False) -> Column:
+    """``money_sum``, or ``money_total``, of rows whose parts are in the columns ``exact`` and ``rest``."""
+    exact = F.sum("exact")
+    exact = (F.round(exact, 2) if rounded else exact).cast("double")
+    return F.coalesce(exact, F.lit(0.0)) + F.coalesce(F.sum("rest"), F.lit(0.0))
+
+
+def money_of_list(amounts: Column) -> Column:
+    """``money_total`` of the amounts in a short array."""
+    fits = F.filter(amounts, lambda a: F.abs(a) < EXACT_BELOW)
+    nothing = F.lit(0).cast("decimal(38,6)")
+    exact = F.aggregate(fits, nothing, lambda total, a: (total + a.cast("decimal(28,6)")).cast("decimal(38,6)"))
+    rest = F.aggregate(F.filter(amounts, lambda a: F.abs(a) >= EXACT_BELOW), F.lit(0.0), lambda total, a: total + a)
+    return F.round(exact, 2).cast("double") + rest

@@ -16,9 +16,9 @@ from tallyboard.functions.deal_rules import (
     weighted_value,
     weighted_value_raw,
 )
-from tallyboard.functions.numbers import money_total
+from tallyboard.functions.numbers import money_of_list, money_of_parts, money_parts, money_total
 from tallyboard.functions.text import labelled
-from tallyboard.operators.shapes import spine, zero_filled
+from tallyboard.operators.shapes import first_of, spine, with_leaders, zero_filled
 
 
 def _weighted() -> Column:
@@ -123,6 +123,9 @@ def revenue_forecast(
     )
 
 
+BY_VALUE = (("value", True), ("id", False))  # larger values first, on equal ones the lower id
+
+
 def top_open_deals(deals: DataFrame, n: int = 10) -> DataFrame:
     """Rows of the ``n`` most valuable open deals; ties go to the lower id."""
     return open_deals(deals).orderBy(F.col("value").desc(), "id").limit(n)
@@ -138,13 +141,15 @@ def top_deals(deals: DataFrame, n: int = 10) -> DataFrame:
 
 
 def top5_share(deals: DataFrame, n: int = 5) -> DataFrame:
-    """Percent of the open value held by the ``n`` most valuable deals."""
-    top = top_open_deals(deals.select("id", "stage", "value"), n).select(F.col("value").alias("top_value"))
-    everything = open_deals(deals).select("value")
-    return (
-        everything.unionByName(top, allowMissingColumns=True)
-        .agg(money_total(F.col("top_value")).alias("top_value"), money_total(F.col("value")).alias("total_value"))
-        .select("top_value", "total_value", (F.col("top_value") / F.greatest("total_value", F.lit(1.0)) * 100).alias("pct"))
+    """Percent of the open value held by the ``n`` most valuable deals, in one pass."""
+    value = F.col("value")
+    found = with_leaders(
+        open_deals(deals).select("id", "value"), [value.desc(), F.col("id")], F.struct("value", "id"), n,
+        money_parts(value), {"total_value": money_of_parts(rounded=True)},
+    )
+    top = money_of_list(F.transform(first_of(F.col("leaders"), n, *BY_VALUE), lambda deal: deal["value"]))
+    return found.select(top.alias("top_value"), "total_value").withColumn(
+        "pct", F.col("top_value") / F.greatest("total_value", F.lit(1.0)) * 100
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +32,28 @@ def _matches(columns: list[str], search: str) -> Column:
     return found
 
 
-def _in_range(rows: DataFrame, day: str, filters: DashboardFilters) -> DataFrame:
+def _in_range(day: str, filters: DashboardFilters) -> list[Column]:
     """A row without a date is left out as soon as a bound is set."""
+    bounds = []
     if filters.start_date:
-        rows = rows.filter(F.col(day) >= F.lit(filters.start_date).cast("date"))
+        bounds.append(F.col(day) >= F.lit(filters.start_date).cast("date"))
     if filters.end_date:
-        rows = rows.filter(F.col(day) <= F.lit(filters.end_date).cast("date"))
-    return rows
+        bounds.append(F.col(day) <= F.lit(filters.end_date).cast("date"))
+    return bounds
+
+
+def deal_conditions(deals: DataFrame, filters: DashboardFilters) -> list[Column]:
+    """What a deal must meet, each a condition that can reach the scan."""
+    conditions = []
+    if filters.search:
+        conditions.append(_matches([c for c in ("name", "client") if c in deals.columns], filters.search))
+    if filters.owner != "all":
+        conditions.append(F.col("owner") == filters.owner)
+    if filters.deal_stage != "all":
+        conditions.append(F.col("stage") == filters.deal_stage)
+    probability = effective_probability(F.col("probability"), F.col("stage"), default=0.0)
+    conditions.append(probability.between(filters.min_probability, filters.max_probability))
+    return conditions + _in_range("expected_close_date", filters)
 
 
 def filter_deals(deals: DataFrame, filters: DashboardFilters) -> DataFrame:
@@ -46,25 +62,16 @@ def filter_deals(deals: DataFrame, filters: DashboardFilters) -> DataFrame:
     The probability is the stated one, that of the stage where none is stated, 0 for others; it
     is compared as it stands, not rescaled.
     """
-    rows = deals
-    if filters.search:
-        rows = rows.filter(_matches([c for c in ("name", "client") if c in deals.columns], filters.search))
-    if filters.owner != "all":
-        rows = rows.filter(F.col("owner") == filters.owner)
-    if filters.deal_stage != "all":
-        rows = rows.filter(F.col("stage") == filters.deal_stage)
-    probability = effective_probability(F.col("probability"), F.col("stage"), default=0.0)
-    rows = rows.filter(probability.between(filters.min_probability, filters.max_probability))
-    return _in_range(rows, "expected_close_date", filters)
+    return reduce(DataFrame.filter, deal_conditions(deals, filters), deals)
 
 
 def filter_work_orders(work_orders: DataFrame, filters: DashboardFilters) -> DataFrame:
     """Search in name, assignee, status, due date."""
-    rows = work_orders
+    conditions = []
     if filters.search:
-        rows = rows.filter(_matches(["name"], filters.search))
+        conditions.append(_matches(["name"], filters.search))
     if filters.owner != "all":
-        rows = rows.filter(F.col("assigned_to") == filters.owner)
+        conditions.append(F.col("assigned_to") == filters.owner)
     if filters.wo_status != "all":
-        rows = rows.filter(F.col("status") == filters.wo_status)
-    return _in_range(rows, "due_date", filters)
+        conditions.append(F.col("status") == filters.wo_status)
+    return reduce(DataFrame.filter, conditions + _in_range("due_date", filters), work_orders)

@@ -5,16 +5,19 @@ META tables have a handful of rows per board, set by the board specification.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.functions.dates import AsOf, in_quarter
 from tallyboard.functions.deal_rules import is_open
-from tallyboard.functions.numbers import money_sum, money_total
+from tallyboard.functions.numbers import money_of_list, money_of_parts, money_parts, money_sum, money_total
 from tallyboard.functions.text import labelled, strip
-from tallyboard.operators.deals import open_deals, top_open_deals
-from tallyboard.operators.shapes import one_row
-from tallyboard.schemas import DEALS_BOARD, WORK_ORDERS_BOARD
+from tallyboard.operators.deals import BY_VALUE, open_deals, top_open_deals
+from tallyboard.operators.filters import DashboardFilters, deal_conditions
+from tallyboard.operators.shapes import first_of, one_row, with_leaders
+from tallyboard.schemas import DEALS_BOARD, WORK_ORDERS_BOARD, BoardSpec
 
 # The six checks, in order.
 CHECKS = (
@@ -104,27 +107,21 @@ def _is_blank(column: str) -> Column:
     return F.coalesce(strip(F.col(column)), F.lit("")) == ""
 
 
-def data_quality_filtered(deals: DataFrame, work_orders: DataFrame, deals_meta: DataFrame) -> DataFrame:
-    """The same checks on filtered rows: undated open deals, blank owners and statuses.
+def _filtered_counts(found: Column) -> list[Column]:
+    undated = is_open(F.col("stage")) & F.col("expected_close_date").isNull()
+    return [
+        F.count_if(found).alias("total_deals"),
+        F.count_if(found & undated).alias("missing_dates"),
+        F.count_if(found & _is_blank("owner")).alias("missing_owners"),
+    ]
 
-    Denominators are the filtered row counts; duplicates and columns come from the deals META.
-    """
+
+def _order_counts(work_orders: DataFrame) -> DataFrame:
+    return work_orders.agg(F.count(F.lit(1)).alias("total_orders"), F.count_if(_is_blank("status")).alias("missing_status"))
+
+
+def _filtered_checks(totals: DataFrame) -> DataFrame:
     c = F.col
-    undated = is_open(c("stage")) & c("expected_close_date").isNull()
-    totals = one_row(
-        deals.agg(
-            F.count(F.lit(1)).alias("total_deals"),
-            F.count_if(undated).alias("missing_dates"),
-            F.count_if(_is_blank("owner")).alias("missing_owners"),
-        ),
-        work_orders.agg(
-            F.count(F.lit(1)).alias("total_orders"), F.count_if(_is_blank("status")).alias("missing_status")
-        ),
-        deals_meta.agg(
-            _total(c("metric") == "dropped_rows", "duplicates"),
-            _absent_fields(c("metric") == "missing_column", "absent"),
-        ),
-    )
     return _check_rows(
         totals,
         [
@@ -138,6 +135,31 @@ def data_quality_filtered(deals: DataFrame, work_orders: DataFrame, deals_meta:
     )
 
 
+def data_quality_filtered(deals: DataFrame, work_orders: DataFrame, deals_meta: DataFrame) -> DataFrame:
+    """The same checks on filtered rows: undated open deals, blank owners and statuses.
+
+    Denominators are the filtered row counts; duplicates and columns come from the deals META.
+    """
+    metric = F.col("metric")
+    meta = deals_meta.agg(_total(metric == "dropped_rows", "duplicates"), _absent_fields(metric == "missing_column", "absent"))
+    return _filtered_checks(one_row(deals.agg(*_filtered_counts(F.lit(True))), _order_counts(work_orders), meta))
+
+
+def data_quality_filtered_marked(
+    marked: DataFrame, filters: DashboardFilters, work_orders: DataFrame, spec: BoardSpec = DEALS_BOARD
+) -> DataFrame:
+    """``data_quality_filtered`` of the deals with their marks, before the filter: one pass gives counts and META."""
+    found = F.coalesce(reduce(Column.__and__, deal_conditions(marked, filters)), F.lit(False))
+    titles = F.coalesce(F.col("titles_present"), F.lit(0).cast("long"))
+    names = [F.when(titles.bitwiseAND(F.lit(1 << i)) == 0, F.lit(field)) for i, field in enumerate(spec.fields)]
+    of_deals = marked.agg(
+        *_filtered_counts(found),
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"),
+        F.min_by("titles_present", "seq").alias("titles_present"),
+    ).withColumn("absent", F.sort_array(F.array_compact(F.array(*names)))).drop("titles_present")
+    return _filtered_checks(one_row(of_deals, _order_counts(work_orders)))
+
+
 def quality_labels(quality: DataFrame) -> DataFrame:
     """Each check with the label its light is shown under."""
     label = F
@@ -171,18 +193,30 @@ _NO_ASSIGNEES = (
 )
 
 
-def missing_data_notes(*metas: DataFrame) -> DataFrame:
-    """``(board, field, note)``: one sentence per gap; a missing column silences its row notes."""
+def missing_data_notes(*metas: DataFrame, specs: tuple[BoardSpec, ...] = (DEALS_BOARD, WORK_ORDERS_BOARD)) -> DataFrame:
+    """``(rank, board, field, note)``: one sentence per gap, in order; a missing column silences its row notes.
+
+    A board's notes begin with its missing sector column, follow its fields and end with the rows dropped. ``rank``, from 1,
+    counts by board in the order of ``specs``.
+    """
     meta = metas[0]
     for other in metas[1:]:
         meta = meta.unionByName(other)
     board, metric, field, count = (F.col(c) for c in ("board", "metric", "field", "count"))
+    # Places of all notes there can be: a table of fixed size, known before any row is read.
+    places = [
+        place
+        for spec in specs
+        for place in [(spec.board, "missing_column", "sector"), *((spec.board, "missing_field", f) for f in spec.fields), (spec.board, "dropped_rows", "")]
+    ]
+    place = F.create_map(*[x for i, key in enumerate(places) for x in (F.lit("/".join(key)), F.lit(i))])
     per_board = meta.groupBy("board").agg(
         F.max(F.when(metric == "total_rows", count)).alias("total"),
         _absent_fields(metric == "missing_column", "absent"),
         F.collect_list(F.struct(metric, field, count)).alias("entries"),
     )
     entries = per_board.select("board", "total", "absent", F.inline("entries"))
+    entries = entries.withColumn("place", F.try_element_at(place, F.concat_ws("/", board, metric, F.coalesce(field, F.lit("")))))
     silenced = F.array_contains("absent", field)
     whole = F.when((board == DEALS_BOARD.board) & (field == "owner"), _NO_OWNERS).when(
         (board == WORK_ORDERS_BOARD.board) & (field == "assigned_to"), _NO_ASSIGNEES
@@ -196,7 +230,10 @@ def missing_data_notes(*metas: DataFrame) -> DataFrame:
         .when((metric == "missing_field") & ~silenced, F.format_string(_SOME_EMPTY, board, count, field))
         .when((metric == "dropped_rows") & (count > 0), F.format_string(_DROPPED, board, count))
     )
-    return entries.select("board", "field", note.alias("note")).filter(F.col("note").isNotNull())
+    noted = entries.select("place", "board", "field", note.alias("note")).filter(F.col("note").isNotNull())
+    listed = noted.agg(F.array_sort(F.collect_list(F.struct("place", "board", "field", "note"))).alias("notes"))  # one per place
+    ranked = listed.select(F.posexplode("notes").alias("at", "n"))
+    return ranked.select((F.col("at") + 1).alias("rank"), "n.board", "n.field", "n.note")
 
 
 def data_completeness(deals_meta: DataFrame, work_orders_meta: DataFrame) -> DataFrame:
@@ -229,6 +266,18 @@ def forecast_confidence(deals: DataFrame, deals_meta: DataFrame) -> DataFrame:
     )
 
 
+def _unparsed_dates(spec: BoardSpec) -> Column:
+    """Whether a marked row has a close date that could not be read."""
+    return F.col("missing").bitwiseAND(F.lit(1 << spec.fields.index("expected_close_date"))) != 0
+
+
+def forecast_confidence_marked(marked: DataFrame, spec: BoardSpec = DEALS_BOARD) -> DataFrame:
+    """``forecast_confidence`` of the deals with their marks, in one pass."""
+    totals = marked.agg(F.count_if(is_open(F.col("stage"))).alias("deal_count"), F.count_if(_unparsed_dates(spec)).alias("missing_dates"))
+    pct = F.col("missing_dates") / F.greatest(F.col("deal_count"), F.lit(1)) * 100
+    return totals.select(_confidence(pct).alias("confidence"), F.round(pct, 6).alias("pct_missing"))
+
+
 def forecast_confidence_filtered(deals: DataFrame) -> DataFrame:
     """Undated open deals against all filtered deals."""
     undated = is_open(F.col("stage")) & F.col("expected_close_date").isNull()
@@ -252,29 +301,49 @@ def stage_rollup(deals: DataFrame, as_of: AsOf) -> DataFrame:
     )
 
 
-def _sentence_totals(stages: DataFrame, top: DataFrame) -> DataFrame:
-    """One row: open totals, the leading stage and the value of the five largest deals.
+def _led(stages: DataFrame, *others: Column) -> DataFrame:
+    """One row: open totals and the leading stage, beside ``others``.
 
     On equal values the first stage by name leads, as in the sorted breakdown.
     """
     stage, value = F.col("stage"), F.round("value", 2).cast("double")
+    leader = F.when(stage.isNotNull() & (F.col("deal_count") > 0), F.struct((-value).alias("negated"), stage))
     totals = stages.agg(
         money_total(F.col("value")).alias("total_value"),
         F.coalesce(F.sum("deal_count"), F.lit(0)).alias("deal_count"),
         F.coalesce(F.sum("quarter_count"), F.lit(0)).alias("quarter_count"),
         F.coalesce(F.sum("undated"), F.lit(0)).alias("undated"),
-        F.min(F.when(stage.isNotNull(), F.struct((-value).alias("negated"), stage))).alias("leader"),
-    ).select(
-        "total_value",
-        "deal_count",
-        "quarter_count",
-        "undated",
-        F.col("leader.stage").alias("top_stage"),
-        (-F.col("leader.negated")).alias("top_stage_value"),
+        F.min(leader).alias("leader"),
+        *others,
     )
+    return totals.withColumns({"top_stage": F.col("leader.stage"), "top_stage_value": -F.col("leader.negated")}).drop("leader")
+
+
+def _sentence_totals(stages: DataFrame, top: DataFrame) -> DataFrame:
+    """``_led`` and the value of the five largest deals."""
     largest = top.orderBy(F.col("value").desc(), "id").limit(5)
     held = largest.agg(money_total(F.col("value")).alias("top5_value"), F.count(F.lit(1)).alias("top5_count"))
-    return one_row(totals, held)
+    return one_row(_led(stages), held)
+
+
+def _sentence_totals_at_once(deals: DataFrame, as_of: AsOf, unparsed: Column) -> DataFrame:
+    """``_sentence_totals`` with ``all_deals`` and ``missing_dates``, from one pass over all deals, open or not."""
+    is_due, day = is_open(F.col("stage")), F.col("expected_close_date")
+    rows = deals.select("id", "stage", is_due.alias("is_due"), F.when(is_due, F.col("value")).alias("value"), day, unparsed.alias("unparsed"))
+    due, counted = F.col("is_due"), ("deal_count", "quarter_count", "undated", "all_deals", "missing_dates")
+    conditions = (due, due & in_quarter(day, as_of), due & day.isNull(), F.lit(True), F.col("unparsed"))
+    stages = with_leaders(
+        rows, [due.desc(), F.col("value").desc(), F.col("id")], F.when(due, F.struct("value", "id")), 5,
+        money_parts(F.col("value")) | {name: F.count_if(which) for name, which in zip(counted, conditions)},
+        {"value": money_of_parts()} | {name: F.sum(name) for name in counted}, "stage",
+    )
+    stages = stages.withColumn("leaders", first_of(F.col("leaders"), 5, *BY_VALUE))
+    totals = _led(
+        stages, *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counted[3:]],
+        F.flatten(F.collect_list("leaders")).alias("leaders"),
+    )
+    top = F.transform(first_of(F.col("leaders"), 5, *BY_VALUE), lambda deal: deal["value"])
+    return totals.withColumns({"top5_value": money_of_list(top), "top5_count": F.size(top)}).drop("leaders")
 
 
 def _numbered(totals: DataFrame, sentences: list[Column]) -> DataFrame:
@@ -290,7 +359,18 @@ def insights(deals: DataFrame, deals_meta: DataFrame, as_of: AsOf) -> DataFrame:
 
 def insights_from(stages: DataFrame, top: DataFrame, deals_meta: DataFrame) -> DataFrame:
     """``insights`` from open deals by stage and the largest open deals."""
-    totals = one_row(_sentence_totals(stages, top), _missing_dates(deals_meta))
+    return _insight_rows(one_row(_sentence_totals(stages, top), _missing_dates(deals_meta)))
+
+
+def insights_marked(marked: DataFrame, as_of: AsOf, spec: BoardSpec = DEALS_BOARD) -> DataFrame:
+    """``insights`` of the deals with their marks, in one pass."""
+    return _insight_rows(_sentence_totals_at_once(marked, as_of, _unparsed_dates(spec)))
+
+
+# The sentences below are fixed values.
+
+
+def _insight_rows(totals: DataFrame) -> DataFrame:
     c = F.col
     share = c("top5_value") / F.greatest(c("total_value"), F.lit(1.0)) * 100
     pct_missing = c("missing_dates") / F.greatest(c("deal_count"), F.lit(1)) * 100
@@ -328,15 +408,17 @@ def insights_from(stages: DataFrame, top: DataFrame, deals_meta: DataFrame) -> D
 
 
 def insights_filtered(deals: DataFrame, as_of: AsOf) -> DataFrame:
-    """The browser's sentences and thresholds, on filtered deals; deals without a stage count as a stage."""
+    """The browser's sentences and thresholds, on filtered deals in one pass; deals without a stage count as a stage."""
     staged = deals.withColumn("stage", labelled(F.col("stage"), "Unknown"))
-    counted = deals.agg(F.count(F.lit(1)).alias("all_deals"))
-    return insights_filtered_from(stage_rollup(staged, as_of), top_open_deals(staged, 5), counted)
+    return _filtered_insight_rows(_sentence_totals_at_once(staged, as_of, F.lit(False)))
 
 
 def insights_filtered_from(stages: DataFrame, top: DataFrame, counted: DataFrame) -> DataFrame:
     """``insights_filtered`` from open deals by stage, the largest ones and the ``all_deals`` count."""
-    totals = one_row(_sentence_totals(stages, top), counted)
+    return _filtered_insight_rows(one_row(_sentence_totals(stages, top), counted))
+
+
+def _filtered_insight_rows(totals: DataFrame) -> DataFrame:
     c = F.col
     base = F.greatest(c("total_value"), F.lit(1.0))
     stage_share, share = c("top_stage_value") / base * 100, c("top5_value") / base * 100

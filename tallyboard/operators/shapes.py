@@ -29,6 +29,42 @@ def one_row(*totals: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
+_PLACE_IN_TASK = (1 << 33) - 1  # what `monotonically_increasing_id` counts below the task's number
+_FOLDS = 64  # groups of tasks whose leaders are merged first
+
+
+def with_leaders(
+    rows: DataFrame, order: list[Column], leader: Column, n: int, parts: dict[str, Column], totals: dict[str, Column], *keys: str
+) -> DataFrame:
+    """``totals`` of the rows by ``keys``, and ``leaders``, the ``leader`` structs of the first rows by ``order``, in one pass.
+
+    Every task sorts its rows where they are and so knows their places; an aggregate takes ``parts`` of the totals and lists
+    the rows of the first ``n`` places, at most ``n`` a task. ``totals`` add up the parts. Both are merged in two steps, so
+    that no task gets those of all tasks. A null ``leader`` is left out. The first ``n`` of all rows are among the leaders of
+    all groups; ``first_of`` finds them.
+    """
+    numbered = rows.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    place, fold = F.col("_at").bitwiseAND(_PLACE_IN_TASK), F.pmod(F.shiftright("_at", 33), F.lit(_FOLDS))
+    listed = F.collect_list(F.when(place < n, leader)).alias("leaders")
+    folded = numbered.groupBy(*keys, fold.alias("_fold")).agg(*[c.alias(name) for name, c in parts.items()], listed)
+    return folded.groupBy(*keys).agg(
+        *[c.alias(name) for name, c in totals.items()], F.flatten(F.collect_list("leaders")).alias("leaders")
+    )
+
+
+def first_of(leaders: Column, n: int, *order: tuple[str, bool]) -> Column:
+    """The first ``n`` of an array of structs by its fields, each ``(field, whether larger values come first)``."""
+
+    def compare(a: Column, b: Column) -> Column:
+        result = F.lit(0)
+        for field, descending in reversed(order):
+            before, after = (1, -1) if descending else (-1, 1)
+            result = F.when(a[field] < b[field], before).when(a[field] > b[field], after).otherwise(result)
+        return result
+
+    return F.slice(F.array_sort(leaders, compare), 1, n)
+
+
 def tidy(frame: DataFrame, section: str, key: Column | None, measures: dict[str, Column], detail: Column | None = None):
     """Rows ``(section, metric, key, value, detail)``, one per measure."""
     key = F.lit(None) if key is None else key
