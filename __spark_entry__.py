@@ -21,7 +21,7 @@ from tallyboard.plans import questions
 from tallyboard.plans.boards import staged_board
 from tallyboard.plans.dashboard import dashboard, dashboard_kpis, filtered_dashboard
 from tallyboard.schemas import DEALS_BOARD, RAW_ITEM, WORK_ORDERS_BOARD, page_of
-from tallyboard.sources import boards, derived, sinks
+from tallyboard.sources import boards, derived, laid_out, sinks
 
 try:  # the corpus operators are optional; an error inside them is not swallowed
     import corpus_pipeline
@@ -201,6 +201,20 @@ def _scan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(both[0]).unionByName(_shown(both[1]), allowMissingColumns=True)
 
 
+def _laid_out_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals of one owner that close within a range, from a table laid out by month."""
+    path = sinks.fresh_path(spark, "laid-out-deals")
+    laid_out.write_laid_out(_deals(spark, sf_dir), laid_out.DEALS_LAYOUT, path)
+    return _shown(laid_out.filtered_deals(spark, path, DashboardFilters(start_date="1996-03-15", end_date="1997-08-20", owner="Rep 7")))
+
+
+def _laid_out_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work orders of one status due by a day, from a table laid out by month."""
+    path = sinks.fresh_path(spark, "laid-out-orders")
+    laid_out.write_laid_out(_orders(spark, sf_dir), laid_out.WORK_ORDERS_LAYOUT, path)
+    return _shown(laid_out.filtered_work_orders(spark, path, DashboardFilters(end_date="1995-06-15", wo_status="Completed")))
+
+
 def _board_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.board_columns(derived.deal_items(spark, sf_dir), "Deals").unionByName(
         boards.board_columns(derived.work_order_items(spark, sf_dir), "Work Orders")
@@ -382,6 +396,8 @@ def board_queries() -> dict[str, Query]:
         "page_chain": _page_chain,
         "damaged_pages": _damaged_pages,
         "scan_tables": _scan_tables,
+        "laid_out_deals": _laid_out_deals,
+        "laid_out_work_orders": _laid_out_work_orders,
         "board_columns": _board_columns,
         "sample_items": _sample_items,
         "write_records": _write_records,

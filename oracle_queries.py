@@ -653,6 +653,9 @@ ORACLES: dict[str, str] = {
           NULL AS assigned_to FROM deals
         UNION ALL SELECT 'Work Orders', id, name, sector, NULL, NULL, NULL, NULL, NULL, status, strftime(start, '%Y-%m-%d'),
           strftime(due, '%Y-%m-%d'), assigned_to FROM work_orders"""),
+    "laid_out_deals": _clean(_CLEAN_DEALS + """ WHERE owner = 'Rep 7'
+        AND close BETWEEN DATE '1996-03-15' AND DATE '1997-08-20' AND id IN (SELECT id FROM facts WHERE fp BETWEEN 0 AND 100)"""),
+    "laid_out_work_orders": _clean(_CLEAN_ORDERS + " WHERE status = 'Completed' AND due <= DATE '1995-06-15'"),
     "board_columns": f"""WITH {_RAW}, {_CELLS} SELECT board, 'col_' || replace(lower(title), ' ', '_') AS column_id,
         trim(title) AS title, count(*) FILTER (trim(text) <> '') AS items_with_value FROM cells GROUP BY 1, 2, 3""",
     "sample_items": f"""WITH {_RAW}, {_CELLS} SELECT board, id, name, title, text, '"' || text || '"' AS value FROM cells

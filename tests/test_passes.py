@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import random
 
 import pytest
@@ -13,7 +14,7 @@ from tallyboard.operators import cleaning, deals, quality
 from tallyboard.operators.filters import DashboardFilters, filter_deals, filter_work_orders
 from tallyboard.operators.shapes import first_of, with_leaders
 from tallyboard.schemas import DEALS_BOARD, WORK_ORDERS_BOARD
-from tallyboard.sources import derived
+from tallyboard.sources import derived, laid_out
 
 SF, AS_OF = "/root/testdata/sf0.001", derived.AS_OF
 
@@ -101,3 +102,71 @@ def test_notes_have_an_order(spark):
         (6, "Work Orders", "assigned_to"),
     ]
     assert quality.missing_data_notes(meta.limit(0)).count() == 0
+
+
+def months_read(rows, path):
+    return {f.split("_month=")[1].split("/")[0] for f in _files(rows) if path in f}
+
+
+def _files(rows):
+    """Files that the scan of a plan opens, after its folders are pruned."""
+    plan = rows._jdf.queryExecution().executedPlan()
+    [scan] = [leaf for leaf in _leaves(plan) if "FileScan" in leaf.toString()]
+    parts = scan.inputRDD().partitions() if hasattr(scan, "inputRDD") else []
+    return [f.urlEncodedPath() for p in parts for f in p.files()]
+
+
+def _leaves(plan):
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return _leaves(plan.initialPlan())
+    children = plan.children()
+    if not children.size():
+        return [plan]
+    return [leaf for i in range(children.size()) for leaf in _leaves(children.apply(i))]
+
+
+def test_a_range_of_dates_opens_only_its_months(spark, tmp_path):
+    days = ["2024-01-31", "2024-02-01", "2024-02-29", "2024-03-01", "2023-02-10", None]
+    rows = spark.createDataFrame(
+        [(str(i), f"d{i}", "s", "Lead", 1.0, 50.0, days[i % 6], f"o{i % 4}") for i in range(600)],
+        "id string, name string, sector string, stage string, value double, probability double, expected_close_date string, owner string",
+    ).withColumn("expected_close_date", F.col("expected_close_date").cast("date"))
+    path = str(tmp_path / "deals")
+    laid_out.write_laid_out(rows, laid_out.DEALS_LAYOUT, path)
+
+    def found(**filters):
+        return laid_out.filtered_deals(spark, path, DashboardFilters(**filters))
+
+    assert months_read(found(), path) == {"2024-01", "2024-02", "2024-03", "2023-02", "none"}
+    assert months_read(found(start_date="2024-02-01", end_date="2024-02-28"), path) == {"2024-02"}
+    assert months_read(found(end_date="2024-01-31"), path) == {"2023-02", "2024-01"}
+    assert months_read(found(start_date="2024-02-29"), path) == {"2024-02", "2024-03"}
+    for filters in ({}, {"start_date": "2024-02-01", "end_date": "2024-02-28"}, {"end_date": "2024-01-31"}, {"start_date": "2024-02-29", "owner": "o3"}):
+        expected = filter_deals(rows, DashboardFilters(**filters))
+        assert sorted(map(str, found(**filters).collect())) == sorted(map(str, expected.collect()))
+    plan = found(owner="o1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(owner,o1)" in plan
+    laid_out.write_laid_out(rows.limit(0), laid_out.DEALS_LAYOUT, str(tmp_path / "none"))
+    assert laid_out.filtered_deals(spark, str(tmp_path / "none"), DashboardFilters(start_date="2024-01-01")).count() == 0
+
+
+def test_a_hot_month_is_split(spark, tmp_path):
+    """Nine of ten rows share a month; its rows come in several files, each sorted by owner."""
+    rows = spark.range(60_000).select(
+        F.col("id").cast("string"), F.sha2(F.col("id").cast("string"), 512).alias("name"), F.lit("s").alias("sector"), F.lit("Lead").alias("stage"),
+        F.lit(1.0).alias("value"), F.lit(1.0).alias("probability"),
+        F.when(F.col("id") % 10 > 0, F.lit("2024-05-05")).otherwise("2024-06-06").cast("date").alias("expected_close_date"),
+        F.concat(F.lit("o"), F.col("id") % 50).alias("owner"),
+    )
+    path = str(tmp_path / "deals")
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        laid_out.write_laid_out(rows, laid_out.DEALS_LAYOUT, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    files = glob.glob(f"{path}/expected_close_date_month=2024-05/*.parquet")
+    assert len(files) > 2
+    owners = [r.owner for r in spark.read.parquet(files[0]).collect()]
+    assert owners == sorted(owners)
+    assert laid_out.scan_laid_out(spark, path, laid_out.DEALS_LAYOUT).count() == 60_000
