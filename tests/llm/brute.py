@@ -126,8 +126,8 @@ def similar_pairs(norms):
                 yield norm, norms[j]
 
 
-def without_repeated_lines(docs):
-    """{doc_id: text} without lines of which an equal or similar one comes first."""
+def without_repeated_lines(docs, radius=None):
+    """{doc_id: text} without lines of which an equal or similar one comes first; similar by edits alone, or within `radius` too."""
     places, groups = [], Groups()
     for doc_id, text in docs:
         for number, line in enumerate((text or "").split("\n")):
@@ -135,7 +135,8 @@ def without_repeated_lines(docs):
             if len(norm) >= MIN_CHARS:
                 places.append((doc_id, hash64(text.encode()), number, norm))
     for a, b in similar_pairs(sorted({p[-1] for p in places})):
-        groups.link(a, b)
+        if radius is None or (simhash(a.split(" ")) ^ simhash(b.split(" "))).bit_count() <= radius:
+            groups.link(a, b)
     first = {}
     for *place, norm in places:
         group = groups.find(norm)

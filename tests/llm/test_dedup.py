@@ -132,7 +132,13 @@ def test_simhash_of_short_long_and_very_long_lines(spark):
     assert {r["k"]: r["fingerprint"] for r in shown} == {x: simhash(x.split(" ")) for x in lines} and len(shown) == len(lines)
 
 
-def test_line_dedup(spark, docs):
+@pytest.mark.parametrize(("radius", "plain"), [(line_dedup.RADIUS, line_dedup.RADIUS), (line_dedup.WIDE, None)])
+def test_line_dedup(spark, docs, radius, plain):
+    """At its narrow radius the operator equals the plain version of that radius, at the query's one edits alone decide.
+
+    One line is lost there: document 197's, of a single word with one letter changed. A line without a space has no word
+    pair that a change leaves as it was, so it meets equal lines only: a known gap, see the README.
+    """
     rng = random.Random(9)
     lines = [" ".join(words(rng, 60)) for _ in range(6)]
     more = []
@@ -145,8 +151,9 @@ def test_line_dedup(spark, docs):
             picked += [" ".join(edited) + "." * (i % 3), "tiny"]
         more.append((1000 + i, "\n".join(picked)))
     table = docs + more
-    found = line_dedup.without_repeated_lines(frame(spark, table))
-    assert {r["doc_id"]: r["text"] for r in found.collect()} == without_repeated_lines(table)
+    found = line_dedup.without_repeated_lines(frame(spark, table), radius)
+    got, wanted = {r["doc_id"]: r["text"] for r in found.collect()}, without_repeated_lines(table, plain)
+    assert got.keys() == wanted.keys() and {d for d in wanted if got[d] != wanted[d]} == ({197} if plain is None else set())
     assert found.columns == ["doc_id", "text", "grp", "n_lines", "n_removed"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
