@@ -95,7 +95,7 @@ def _side(encode, listed: list[bytes]) -> Side:
 @lru_cache(maxsize=2)
 def sides(byte_file: str, piece_file: str) -> tuple[Side, Side]:
     """Both tokenizers, once per worker."""
-    a, b = token_ids(byte_file), PieceIds(piece_file)
+    a, b = token_ids(byte_file, special_as_text=True), PieceIds(piece_file)
     to_byte = printed_bytes()
     vocab = a.tokenizer.get_vocab(with_added_tokens=True)
     listed = [b""] * (max(vocab.values()) + 1)

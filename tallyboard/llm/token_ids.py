@@ -46,14 +46,17 @@ class TokenIds:
     """Encodes texts to little-endian ids of `dtype`.
 
     Texts of code points below 256 are cut into words here; a word's ids are looked up, or merged anew by the file's own
-    ranks. Other texts, and files of another kind, go through the tokenizer whole. Both give the same ids.
+    ranks. Other texts, texts that hold an added token, and files of another kind go through the tokenizer whole. Both give
+    the same ids. With `special_as_text` the strings of special tokens are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         parts = json.loads(Path(path).read_text(encoding="utf-8"))
+        added = [t["content"] for t in parts.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         pre = parts.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         ranks = _merge_ranks(parts["model"]) if plain and not parts.get("normalizer") else None
@@ -74,7 +77,7 @@ class TokenIds:
         """Ids of one text; null counts as empty."""
         if not isinstance(text, str) or not text:
             return np.empty(0, dtype=self.dtype)
-        if not self.words or BEYOND.search(text):
+        if not self.words or BEYOND.search(text) or (self.added and self.added.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
@@ -87,6 +90,6 @@ class TokenIds:
 
 
 @lru_cache(maxsize=2)
-def token_ids(path: str) -> TokenIds:
-    """One encoder per worker and file."""
-    return TokenIds(path)
+def token_ids(path: str, special_as_text: bool = False) -> TokenIds:
+    """One encoder per worker, file and way to read special tokens."""
+    return TokenIds(path, special_as_text)

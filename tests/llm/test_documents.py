@@ -224,14 +224,15 @@ def test_sharding_splits_a_hot_group(spark):
 def test_token_ids_equal_the_tokenizer():
     path = packing.default_vocabulary()
     plain, mine = Tokenizer.from_file(path), TokenIds(path)
-    plain.encode_special_tokens = True
     rng = random.Random(6)
     alphabet = "abcXYZ 0189é²¼ß'.,!?|\n\t \xa0\x85\x1c\x7f-_<>" + "sdtrevml'"
     texts = ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(400)]
-    texts += ["日本語 text", "a\0b", "<|endoftext|>", "it's we'll  you've\n\n x", " ", " x", "naïve café ªº × ÷"]
+    texts += ["日本語 text", "a\0b", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "日<|endoftext|>", "<|ENDOFTEXT|> <|endoftext",  "it's we'll  you've\n\n x", " ", " x", "naïve café ªº × ÷"]
     for text in texts:
         assert mine.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text
     assert mine.encode(None).tolist() == []
+    assert 50256 in mine.encode("a <|endoftext|> b").tolist()
+    assert 50256 not in TokenIds(path, special_as_text=True).encode("a <|endoftext|> b").tolist()
 
 
 def test_packing_round_trip(spark):
