@@ -20,6 +20,7 @@ from tallyboard.operators.shapes import union_all
 from tallyboard.plans import questions
 from tallyboard.plans.boards import staged_board
 from tallyboard.plans.dashboard import dashboard, dashboard_kpis, filtered_dashboard
+from tallyboard.plans.landed import LandedSums
 from tallyboard.schemas import DEALS_BOARD, RAW_ITEM, WORK_ORDERS_BOARD, page_of
 from tallyboard.sources import boards, derived, laid_out, sinks
 
@@ -383,6 +384,24 @@ def _quality_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_overall(quality.data_quality(_deals_meta(spark, sf_dir), _orders_meta(spark, sf_dir)))
 
 
+LANDED_SHARES = ((0.0, 0.4), (0.3, 0.7), (0.6, 1.0))  # of the items' order; what two batches share comes twice
+
+
+def _landed_sums(spark: SparkSession, sf_dir: str) -> LandedSums:
+    """All items of both boards, landed as three batches that overlap."""
+    both = ((derived.flat_deals(spark, sf_dir), DEALS_BOARD), (derived.flat_work_orders(spark, sf_dir), WORK_ORDERS_BOARD))
+    ends = [flat.agg(F.min("seq"), F.max("seq")).first() for flat, _ in both]
+    sums = LandedSums(spark, sinks.fresh_path(spark, "landed-sums"))
+    for number, shares in enumerate(LANDED_SHARES):
+        batch = []
+        for (flat, board), (first, last) in zip(both, ends):
+            low, high = (first + int((last - first) * share) for share in shares)
+            high = last if shares[1] == 1.0 else high  # a double does not hold every long
+            batch.append(cleaning.clean_flat(flat.filter(F.col("seq").between(low, high)), board))
+        sums.land(f"{number:04d}", *batch)
+    return sums
+
+
 def queries() -> dict[str, Query]:
     """The board queries, and those of the corpus operators where these are installed."""
     return board_queries() | (corpus.QUERIES | {"pipeline": corpus_pipeline.run} if corpus else {})
@@ -496,6 +515,9 @@ def board_queries() -> dict[str, Query]:
         "stage_counts": _of_deals(deals.stage_counts),
         "deals_by_owner": _of_deals(deals.deals_by_owner),
         "work_orders_by_assignee": _of_orders(work_orders.work_orders_by_assignee),
+        "sector_analysis_landed": lambda spark, sf_dir: _landed_sums(spark, sf_dir).sector_analysis(AS_OF),
+        "deals_by_owner_landed": lambda spark, sf_dir: _landed_sums(spark, sf_dir).deals_by_owner(),
+        "work_orders_by_assignee_landed": lambda spark, sf_dir: _landed_sums(spark, sf_dir).work_orders_by_assignee(),
         "pipeline_diagnostics": _of_deals(deals.pipeline_diagnostics, AS_OF),
         "mapping_profile": _of_deals(deals.mapping_profile),
         # series and top-k
@@ -550,6 +572,7 @@ def board_queries() -> dict[str, Query]:
         "recent_turns_answer": lambda spark, sf_dir: messages.recent_turns(
             derived.turns(spark, sf_dir), messages.ANSWER_TURNS
         ),
+        "recent_turns_archive": lambda spark, sf_dir: messages.recent_turns(derived.messages(spark, sf_dir), 5000),
     }
 
 

@@ -816,10 +816,14 @@ ORACLES: dict[str, str] = {
         SELECT conversation_id, turn, text, is_ambiguous, {_QUESTION}, route FROM routed""",
     "route_volume": f"WITH {_MESSAGES} SELECT route, count(*) AS count FROM routed GROUP BY route",
     "recent_turns": f"WITH {_MESSAGES} {_recent('messages', 20)}",
+    "recent_turns_archive": f"WITH {_MESSAGES} {_recent('messages', 5000)}",
     "recent_turns_routing": _recent(_CONVERSATIONS, 3),
     "recent_turns_answer": _recent(_CONVERSATIONS, 5),
 }
 
+# Landed in batches or read at once: the same rows.
+ORACLES |= {f"{name}_landed": ORACLES[name] for name in ("sector_analysis", "deals_by_owner", "work_orders_by_assignee")}
+
 
 def _chart(name: str, source: str, key: str, *measures: str) -> str:
     rows = [f"SELECT '{name}' AS chart, '{m}' AS metric, {key} AS key, {m}::DOUBLE AS value FROM ({ORACLES[source]})" for m in measures]

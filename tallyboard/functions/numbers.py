@@ -49,11 +49,12 @@ def money_parts(amount: Column) -> dict[str, Column]:
     return {"exact": exact, "rest": rest}
 
 
-def money_of_parts(rounded: bool = False) -> Column:
-    """``money_sum``, or ``money_total``, of rows whose parts are in the columns ``exact`` and ``rest``."""
-    exact = F.sum("exact")
+def money_of_parts(rounded: bool = False, which: Column | None = None) -> Column:
+    """``money_sum``, or ``money_total``, of rows whose parts are in the columns ``exact`` and ``rest``; ``which`` of them."""
+    exact, rest = (F.col(part) if which is None else F.when(which, F.col(part)) for part in ("exact", "rest"))
+    exact = F.sum(exact)
     exact = (F.round(exact, 2) if rounded else exact).cast("double")
-    return F.coalesce(exact, F.lit(0.0)) + F.coalesce(F.sum("rest"), F.lit(0.0))
+    return F.coalesce(exact, F.lit(0.0)) + F.coalesce(F.sum(rest), F.lit(0.0))
 
 
 def money_of_list(amounts: Column) -> Column:

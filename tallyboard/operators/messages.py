@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,17 +77,29 @@ def route_volume(messages: DataFrame) -> DataFrame:
 MOST_TURNS = 1000
 
 
-def recent_turns(turns: DataFrame, n: int = KEPT_TURNS) -> DataFrame:
-    """The last ``n`` turns of each conversation.
+def _latest(turns: DataFrame, n: int, *keys: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("turn").desc()))
+    return turns.withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth")
+
+
+def salts_for(longest: int, n: int) -> int:
+    """Parts of the longest conversation for which the largest part and what all parts leave are about as long."""
+    return max(1, math.isqrt(max(0, longest - 1) // n) + 1)
+
+
+def recent_turns(turns: DataFrame, n: int = KEPT_TURNS, salts: int | None = None) -> DataFrame:
+    """The last ``n`` turns of each conversation; of turns of one number any may be kept.
 
     The limit is applied before the shuffle too: a task sends at most ``n`` rows per conversation. That holds up to
-    `MOST_TURNS`; more are refused, as a long conversation would then be sorted whole in one task.
+    `MOST_TURNS`, above which Spark sorts conversations whole. Then each conversation is dealt to ``salts`` parts by a hash
+    of its turns, the last ``n`` of each part are found first, and those of the conversation among them: of the longest one, of
+    ``m`` turns, no task sorts more than about ``sqrt(m * n)``. Without ``salts`` its turns are counted when the frame is built.
     """
-    if n > MOST_TURNS:
-        raise ValueError(f"at most {MOST_TURNS} turns")
-    latest = Window.partitionBy("conversation_id").orderBy(F.col("turn").desc())
-    return (
-        turns.withColumn("nth", F.row_number().over(latest))
-        .filter(F.col("nth") <= n)
-        .select("conversation_id", "turn", "role", "text")
-    )
+    turns = turns.select("conversation_id", "turn", "role", "text")
+    if n <= MOST_TURNS and salts is None:
+        return _latest(turns, n, "conversation_id")
+    if salts is None:
+        longest = turns.groupBy("conversation_id").count().agg(F.max("count").alias("n")).first()["n"]
+        salts = salts_for(longest or 0, n)
+    dealt = turns.withColumn("salt", F.pmod(F.xxhash64("turn", "role", "text"), F.lit(salts)))
+    return _latest(_latest(dealt, n, "conversation_id", "salt").drop("salt"), n, "conversation_id")

@@ -356,3 +356,21 @@ def test_recent_turns(spark):
     last = messages.recent_turns(turns, 3)
     assert sorted(r.turn for r in last.filter("conversation_id = 0").collect()) == [93, 96, 99]
     assert "WindowGroupLimit" in last._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("salts", [None, 1, 7])
+def test_many_recent_turns_of_a_hot_conversation(spark, salts):
+    turns = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 400).when(F.col("id") % 3 == 1, 1).alias("conversation_id"),
+        F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("hi").alias("text"), F.lit(0).alias("salt"),
+    )
+    last = messages.recent_turns(turns.repartition(5), 5000, salts)
+    assert last.columns == ["conversation_id", "turn", "role", "text"]
+    found = last.toPandas()
+    mine = turns.toPandas().sort_values("turn").groupby("conversation_id", dropna=False).tail(5000)
+    assert sorted(found["turn"]) == sorted(mine["turn"]) and found["conversation_id"].isna().sum() == 5000
+    assert messages.recent_turns(turns.limit(0), 5000, salts).count() == 0
+
+
+def test_salts_balance_parts_and_what_they_leave():
+    assert [messages.salts_for(m, 5000) for m in (0, 1, 5000, 20_001, 3 * 10**10)] == [1, 1, 1, 3, 2450]
