@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ BLOCK_TAGS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE_TAGS = frozenset("aside button dialog footer form head menu nav object option select title".split())
+FURNITURE_TAGS = frozenset("aside button dialog footer head menu nav object option select title".split())
 FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -26,20 +27,21 @@ FURNITURE_WORDS = frozenset(
     "pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social "
     "sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"  # self-closed: empty
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|canvas|textarea|math|audio|video)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[a-z/!?][^>]*+>",
-    re.IGNORECASE | re.DOTALL,
-)
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
+DENIED = frozenset("has no non not with without".split())  # first in a name: the page has it or not, the element is something else
+SOCIAL = frozenset("bar button buttons follow icon icons link links media menu nav network networks share sharing".split())
+RAW_TAGS = frozenset("audio canvas iframe math noscript script style svg template textarea video".split())
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-z][^\s/>]*+))", re.IGNORECASE)
+QUOTE_OR_END = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 WINDOW = 3  # lines that a window sums
 SURGE = 80  # characters in a window that make a surge
 
 
+HARD, SOFT, COMMENTS = 3, 1, 2  # furniture by its element; by its name, or a form; reader comments by their name
+
+
 @dataclass
 class Line:
     text: str
@@ -48,85 +50,219 @@ class Line:
     linked: int  # characters of it that are links
 
 
-def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
+def _named_furniture(name: str) -> int:
+    """How one of the names of a class or id marks an element; 0 not at all."""
+    words = [w.lower() for w in NAME_PARTS.findall(name)]
+    if not words or words[0] in DENIED or words[-1] == "free":
+        return 0
+    found = 0
+    for at, word in enumerate(words):
+        last = at == len(words) - 1
+        if word not in FURNITURE_WORDS or (word in ("widget", "widgets") and at and not last):
+            continue
+        if word == "social" and not last and words[at + 1] not in SOCIAL:
+            continue
+        found = max(found, COMMENTS if word in COMMENT_WORDS else SOFT)
+    return found
+
+
+def _furniture(tag: str, attrs: str, in_article: bool) -> int:
     if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
-        return True
+        return HARD
+    found = SOFT if tag == "form" else 0
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for name, *values in ATTRIBUTE.findall(attrs):
         value, name = "".join(values), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return HARD
         if name == "role" and value.lower() in FURNITURE_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in FURNITURE_WORDS for w in NAME_PARTS.findall(value)):
-            return True
-    return False
+            found = max(found, SOFT if value.lower() == "form" else HARD)
+        if name in ("class", "id"):
+            found = max([found, *map(_named_furniture, value.split())])
+    return found
+
+
+class _Tags:
+    """The markup of a page in order, in linear time: (start, end, closing, tag, attributes); no tag for what is skipped."""
+
+    def __init__(self, page: str):
+        self.page, self.last_end, self.open_quote = page, page.rfind(">"), 0
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name ends at `at`: the next > outside of quotes, or any where a quote stays open."""
+        page, first = self.page, at
+        while at >= self.open_quote:
+            found = QUOTE_OR_END.search(page, at)
+            if found and found[0] == ">":
+                return found.end()
+            at = page.find(found[0], found.end()) + 1 if found else 0
+            if not at:  # no tag before this quote, the last one of its kind, or before the end need try again
+                self.open_quote = found.end() if found else len(page) + 1
+        return page.find(">", first) + 1
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        page, at = self.page, 0
+        while found := OPENING.search(page, at):
+            start = found.start()
+            if found[0] == "<!--":
+                at = (page.find("-->", found.end()) + 3) if page.find("-->", found.end()) >= 0 else len(page)
+                yield start, at, False, "", ""
+                continue
+            if start > self.last_end:
+                return
+            tag = (found[2] or "").lower()
+            at = self._end(found.end()) if tag else page.find(">", found.end()) + 1
+            attrs = page[found.end() : at - 1]
+            if tag in RAW_TAGS and not found[1]:
+                if not (tag in ("svg", "math") and attrs.endswith("/")):
+                    end = re.compile(rf"</{tag}\s*+>", re.IGNORECASE).search(page, at)
+                    at = end.end() if end else len(page)
+                tag = ""
+            yield start, at, bool(found[1]), tag, attrs
+
+
+class _Open:
+    """The open elements of a page, and where those of each tag stand."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int, bool, int]] = []  # tag, furniture, article, named element around it
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost of these tags, -1 if none is open."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=-1)
+
+    def push(self, tag: str, furniture: int, article: bool, around: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.items))
+        self.items.append((tag, furniture, article, around))
+
+    def pop(self) -> tuple[str, int, bool, int]:
+        item = self.items.pop()
+        self.places[item[0]].pop()
+        return item
+
+
+@dataclass
+class _Named:
+    """An element that its name, or being a form, marks as furniture."""
+
+    around: int  # the next such element around it, 0 for none
+    kind: int
+    form: bool
+    in_article: bool
+    landmark: bool = False  # holds an article, a main element or a first heading
+    chars: int = 0
 
 
 def page_lines(page: str) -> list[Line]:
-    """The blocks of a page in order, markup stripped, with what is known of the elements around them."""
-    lines: list[Line] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, furniture, article
-    parts: list[str] = []
-    state = {"furniture": 0, "article": 0, "links": 0, "articles": 0, "linked": 0}
+    """The blocks of a page in order, markup stripped, with what is known of the elements around them.
+
+    Furniture inside a block is left out of its text. Names can mislead: where they leave hardly any text, elements that hold
+    most of what they took are read as content, see `_content`.
+    """
+    blocks: list[tuple[list[tuple[str, int]], bool, int, int]] = []  # pieces by named element, hard furniture, article, linked
+    opened, named = _Open(), [_Named(0, 0, False, False)]
+    parts: list[tuple[str, int]] = []
+    state = {"hard": 0, "article": 0, "links": 0, "articles": 0, "linked": 0, "named": 0, "dropped": 0}
+
+    def read(text: str) -> None:
+        if state["hard"]:
+            state["dropped"] += not text.isspace()
+            return
+        parts.append((text, state["named"]))
+        if state["links"]:
+            state["linked"] += len(text)
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            number = state["articles"] if state["article"] else 0
-            lines.append(Line(text, state["furniture"] > 0, number, state["linked"]))
+        if any(not text.isspace() for text, _ in parts) or state["dropped"]:
+            blocks.append((list(parts), state["dropped"] > 0, state["articles"] if state["article"] else 0, state["linked"]))
         parts.clear()
-        state["linked"] = 0
+        state["linked"] = state["dropped"] = 0
 
     def close(upto: int) -> None:
-        for tag, furniture, article in open_tags[upto:]:
-            state["furniture"] -= furniture
+        while len(opened.items) > upto:
+            tag, furniture, article, around = opened.pop()
+            state["hard"] -= furniture == HARD
             state["article"] -= article
             state["links"] -= tag == "a"
-        del open_tags[upto:]
+            state["named"] = around
 
     at = 0
-    for found in MARKUP.finditer(page):
-        if found.start() > at:
-            parts.append(page[at : found.start()])
-            if state["links"]:
-                state["linked"] += found.start() - at
-        at = found.end()
-        tag = (found["tag"] or "").lower()
+    for start, end, closing, tag, attrs in _Tags(page):
+        if start > at:
+            read(page[at:start])
+        at = end
         if not tag:
             continue
         if tag in BLOCK_TAGS:
             flush()
         elif tag == "br":
-            parts.append("\n")
-        if found["end"]:
-            place = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == tag), None)
-            if place is not None:
+            read("\n")
+        if closing:
+            if (place := opened.last(tag)) >= 0:
                 close(place)
             continue
         if tag in BLOCK_TAGS:  # a paragraph ends where the next block begins
-            place = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] in ("p", "li")), None)
-            if place is not None and (open_tags[place][0] == "p" or tag == "li") and (
-                not any(t[0] in ("ul", "ol", "table", "div") for t in open_tags[place + 1 :])
-            ):
+            place = opened.last("p", "li")
+            if place >= 0 and (opened.items[place][0] == "p" or tag == "li") and opened.last("ul", "ol", "table", "div") < place:
                 close(place)
         if tag == "body":
             close(0)
-        if tag in VOID_TAGS or found["attrs"].endswith("/"):
+        if tag in VOID_TAGS or attrs.endswith("/"):
             continue
         article = tag in ("article", "main")
         state["articles"] += article and not state["article"]
-        furniture = _is_furniture(tag, found["attrs"], state["article"] > 0)
-        open_tags.append((tag, furniture, article))
-        state["furniture"] += furniture
+        furniture = _furniture(tag, attrs, state["article"] > 0)
+        opened.push(tag, furniture, article, state["named"])
+        if article or tag == "h1":
+            outer = state["named"]
+            while outer and not named[outer].landmark:
+                named[outer].landmark = True
+                outer = named[outer].around
+        if furniture in (SOFT, COMMENTS):
+            named.append(_Named(state["named"], furniture, tag == "form", state["article"] > 0))
+            state["named"] = len(named) - 1
+        state["hard"] += furniture == HARD
         state["article"] += article
         state["links"] += tag == "a"
-    parts.append(page[at:])
+    read(page[at:])
     flush()
+    content = _content(blocks, named)
+    lines = []
+    for pieces, dropped, number, linked in blocks:
+        text = " ".join(html.unescape("".join(text for text, by in pieces if content[by])).split())
+        if text:
+            lines.append(Line(text, False, number, linked))
+        elif dropped or any(not text.isspace() for text, _ in pieces):
+            lines.append(Line("", True, number, 0))
     return lines
 
 
+def _content(blocks: list[tuple[list[tuple[str, int]], bool, int, int]], named: list[_Named]) -> list[bool]:
+    """Which of the named elements hold content; the first stands for the rest of the page.
+
+    None does, as a rule. Where the rest, or the rest of its articles if there are any, has less than `SURGE` characters, an element
+    that has three times as many and over half of the text of all named ones does. It must hold an article, a main element or a
+    first heading, or, unless it is a form, stand in an article. Reader comments never count.
+    """
+    articles = any(number for *_, number, _ in blocks)
+    for pieces, _, number, _ in blocks:
+        for text, by in pieces:
+            if by or number or not articles:
+                named[by].chars += len(text.strip())
+    rest, taken = named[0].chars, sum(element.chars for element in named[1:])
+    for element in reversed(named[1:]):  # elements inside come after those around them
+        if element.around:
+            named[element.around].chars += element.chars
+    content = [True]
+    for element in named[1:]:
+        may = element.kind == SOFT and (element.landmark or (element.in_article and not element.form))
+        large = rest < SURGE <= element.chars and element.chars >= 3 * rest and 2 * element.chars > taken
+        content.append(may and large and content[element.around])
+    return content
+
+
 def main_lines(lines: list[Line]) -> list[str]:
     """Lines between the surge and the dive of the text lengths summed over sliding windows.
 

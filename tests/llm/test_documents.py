@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -185,6 +186,41 @@ def test_html_pieces(page):
     assert html_text.main_text(page) in ("", "<", "<p", "&", "<a href='x")
 
 
+SAID = "This is a sentence of the article that says something of use to readers. " * 3
+
+
+@pytest.mark.parametrize(
+    "page",
+    [f"<body><form id=aspnetForm><article><p>{SAID}</p></article><input></form>", f'<div class="content no-sidebar"><p>{SAID}</p></div>',
+     f'<div class="ad-free"><article><p>{SAID}</p></article></div>', f'<div class="elementor-widget-container"><p>{SAID}</p></div>',
+     f'<article><div class="entry with-comments"><p>{SAID}</p></div></article>', f'<article><div class="social-sciences"><p>{SAID}</p></div></article>',
+     f'<div class="promo"><h1>This</h1><p>{SAID}</p></div>', f'<main><div class="notice"><p>{SAID}</p></div></main>',
+     f'<article><p>{SAID}<button>Foo</button><select><option>Red</select><span class="share">Share</span></p></article>',
+     f'<article><p>{SAID}</p><div class="comments"><article><p>Comment. {SAID * 3}</p></article></div></article>',
+     f'<article><p>{SAID}</p></article><div class="related"><article><p>Related. {SAID * 3}</p></article></div>',
+     f'<article><p>{SAID}</p><form><p>Form. {SAID * 3}</p></form></article>', f"<p title='a>{SAID}"],
+)
+def test_html_names_mislead(page):
+    assert html_text.main_text(page).removeprefix("This\n") == SAID.strip()
+
+
+@pytest.mark.parametrize("page", ["<form><p>" + SAID, '<div class="comments"><article><p>' + SAID, '<div class="cookie-notice"><p>' + SAID])
+def test_html_furniture_alone_gives_no_text(page):
+    assert html_text.main_text(page) == ""
+
+
+@pytest.mark.parametrize(
+    "piece", ["<b ", "<svg x", "<div>", "</b>", '<b "<b >"', "<div class=share>", "<p>x", "<!--", "<svg/>", "<div class=ad><article>", "<b x=\"'>"]
+)
+def test_html_time_is_linear(piece):
+    taken = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        html_text.main_text(piece * n + "'")
+        taken.append(time.process_time() - start)
+    assert taken[1] < 30 * taken[0] + 0.3  # 8 times the text; 64 times if it were quadratic
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, None, "<p>old", "t"), (1, "u", None, "t")], "page_id long, url string, html string, text string")
     found = html_text.extract(pages).collect()
