@@ -11,6 +11,7 @@ many contexts are spread over shards, whose sorted strings are then merged range
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -66,8 +67,8 @@ def _window_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def row_name(data: bytes) -> int:
-    """Tells rows that share a doc_id apart by their text."""
-    return int.from_bytes(hashlib.blake2b(data, digest_size=4).digest(), "little")
+    """Tells rows that share a doc_id apart by a checksum of their text, the one that Spark joins them on."""
+    return zlib.crc32(data)
 
 
 def contexts_of(doc_id: int, data: bytes) -> np.ndarray:
@@ -369,15 +370,13 @@ def merge_strings(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
 
 
 def _context_texts(documents: DataFrame, shards: int) -> DataFrame:
-    """Wanted contexts of joined documents (row_name, wanted, text) packed by shard, with their bytes."""
+    """Wanted contexts of joined documents (wanted, text) packed by shard, with their bytes."""
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             parts: dict[int, tuple[list, list]] = {}
-            for name, wanted, text in zip(frame["row_name"], frame["wanted"], frame["text"]):
+            for wanted, text in zip(frame["wanted"], frame["text"]):
                 data = _utf8(text)
-                if row_name(data) != name:
-                    continue
                 rows = np.frombuffer(wanted, dtype=WANTED)
                 key = mix64(rows["anchor"] + rows["salt"]) % np.uint64(shards)
                 pieces = np.empty(len(rows), dtype=PIECE)
@@ -391,7 +390,7 @@ def _context_texts(documents: DataFrame, shards: int) -> DataFrame:
                 {"shard": list(parts), "blob": [b"".join(x[0]) for x in parts.values()], "text": [b"".join(x[1]) for x in parts.values()]}
             )
 
-    return documents.select("row_name", "wanted", "text").mapInPandas(emit, "shard long, blob binary, text binary")
+    return documents.select("wanted", "text").mapInPandas(emit, "shard long, blob binary, text binary")
 
 
 # --- results ---
@@ -435,21 +434,22 @@ def remove_repeats(
     volume = wanted.agg(F.sum(F.octet_length("wanted")).alias("n")).first()["n"] or 0
     shards = max(1, -(-(volume // WANTED.itemsize * (LENGTH + 30)) // shard_bytes))
 
-    texts = _context_texts(documents.join(wanted, "doc_id"), shards)
+    row = ["doc_id", "row_name"]  # rows of one doc_id, null ones above all, do not meet each other
+    rows = documents.withColumn("row_name", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long")))
+    texts = _context_texts(rows.join(wanted, row), shards)
     searched = texts.groupBy("shard").applyInPandas(lambda f: search_shard(f, buckets), BLOBS)
     searched = stored(searched, "shard-spans")
     merged = searched.filter("kind = 'string'").groupBy("bucket").applyInPandas(lambda f: merge_strings(f, buckets), BLOBS)
     more = searched.filter("kind = 'span'").unionByName(merged).groupBy("bucket").applyInPandas(by_document, schema)
-    spans = known.filter("span is not null").select("doc_id", "row_name", "span").unionByName(more.select("doc_id", "row_name", "span"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row_name", "span")).alias("spans"))  # of one document's rows
+    spans = known.filter("span is not null").select(*row, "span").unionByName(more.select(*row, "span"))
+    spans = spans.groupBy(*row).agg(F.collect_list("span").alias("spans"))  # of one text
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc_id, text, spans in zip(frame["doc_id"], frame["text"], frame["spans"]):
                 data = _utf8(text)
-                name = row_name(data)
-                own = [np.frombuffer(s["span"], dtype=SPAN) for s in (spans if spans is not None else []) if s["row_name"] == name]
+                own = [np.frombuffer(span, dtype=SPAN) for span in (spans if spans is not None else [])]
                 kept, runs = cut_spans(data, joined_spans(np.concatenate(own))) if own else (data, 0)
                 shown = None if doc_id == least else doc_id
                 digest = hashlib.sha256(kept).hexdigest()
@@ -458,7 +458,7 @@ def remove_repeats(
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return documents.join(spans, "doc_id", "left").mapInPandas(finish, RESULT)
+    return rows.join(spans, row, "left").mapInPandas(finish, RESULT)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -124,6 +125,23 @@ def test_suffix_dedup_rows_of_one_document(spark, copies):
     assert sorted((r["doc_id"], r["n_removed"]) for r in later) == [(5, 0)] * copies + [(6, 150)] * copies
 
 
+def test_suffix_dedup_rows_without_doc_id_meet_their_own_spans_alone(spark, monkeypatch):
+    passage = "".join(chr(65 + i * i % 57) for i in range(150))
+    rows = [(None, f"{passage} {i} {i * 7919}") for i in range(1500)] + [(None, "x" + passage), (1, passage + "end"), (2, None)]
+    joined, texts = [], suffix_dedup._context_texts
+
+    def counted(found, shards):
+        joined.append(found.count())
+        return texts(found, shards)
+
+    monkeypatch.setattr(suffix_dedup, "_context_texts", counted)
+    found = suffix_dedup.remove_repeats(frame(spark, rows).repartition(6)).collect()
+    whole = min((zlib.crc32(text.encode()), text) for doc_id, text in rows if doc_id is None)[1]  # the first row keeps the passage
+    assert len(found) == 1503 and [r["kept"].decode() for r in found if r["doc_id"] is None and not r["n_removed"]] == [whole]
+    assert all(r["n_removed"] >= 150 for r in found if r["doc_id"] != 2 and r["kept"] != whole.encode())
+    assert joined[0] <= 20 * len(rows)  # a row for each bucket that asks for its text; 1500 times as many where all rows meet
+
+
 def test_simhash_of_short_long_and_very_long_lines(spark):
     rng = random.Random(1)
     lines = [" ".join(words(rng, n, 50)) for n in (1, 2, 254, 255, 256, 510, 600)]
