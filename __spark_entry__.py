@@ -561,7 +561,14 @@ def board_queries() -> dict[str, Query]:
         "general_business_health": _answer("general_business_health"),
         "answer_charts": lambda spark, sf_dir: questions.charts(_staged(spark, sf_dir), *questions.CHARTS),
         "answer_completeness": lambda spark, sf_dir: questions.completeness(_business(spark, sf_dir)),
+        "whole_answers": lambda spark, sf_dir: questions.whole_answers(_staged(spark, sf_dir), *questions.ANSWERS),
         # messages
+        "answer_messages": lambda spark, sf_dir: _shown(
+            questions.answer_messages(derived.messages(spark, sf_dir), _business(spark, sf_dir))
+        ),
+        "answer_conversations": lambda spark, sf_dir: _shown(
+            questions.answer_messages(derived.turns(spark, sf_dir), _business(spark, sf_dir))
+        ),
         "route_messages": lambda spark, sf_dir: messages.route_messages(derived.messages(spark, sf_dir)),
         "route_conversations": lambda spark, sf_dir: messages.route_messages(derived.turns(spark, sf_dir)),
         "route_volume": lambda spark, sf_dir: messages.route_volume(derived.messages(spark, sf_dir)),

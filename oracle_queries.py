@@ -825,19 +825,27 @@ ORACLES: dict[str, str] = {
 ORACLES |= {f"{name}_landed": ORACLES[name] for name in ("sector_analysis", "deals_by_owner", "work_orders_by_assignee")}
 
 
-def _chart(name: str, source: str, key: str, *measures: str) -> str:
-    rows = [f"SELECT '{name}' AS chart, '{m}' AS metric, {key} AS key, {m}::DOUBLE AS value FROM ({ORACLES[source]})" for m in measures]
+def _chart(name: str, source: str, key: str, order: str, *measures: str) -> str:
+    numbered = f"SELECT *, (row_number() OVER (ORDER BY {order}))::INT AS rank FROM ({source})"
+    rows = [f"SELECT '{name}' AS chart, rank, '{m}' AS metric, {key} AS key, {m}::DOUBLE AS value FROM ({numbered})" for m in measures]
     return " UNION ALL ".join(rows)
 
 
 # Charts of each route, as the fixed table of the plan names them.
 _CHARTS = {
-    "pipeline_stage": _chart("pipeline_stage", "pipeline_stage", "stage", "value", "count"),
-    "revenue_forecast": _chart("revenue_forecast", "revenue_forecast", "month", "unweighted_value", "weighted_value", "deal_count"),
-    "opportunity_distribution": _chart("opportunity_distribution", "opportunity_distribution", "name", "value"),
-    "work_orders": _chart("work_orders", "work_order_status", "status", "count"),
-    "top_deals": _chart("top_deals", "top_deals", "name", "value"),
-}
+    "pipeline_stage": _chart("pipeline_stage", ORACLES["pipeline_stage"], "stage", "value DESC, stage", "value", "count"),
+    "revenue_forecast": _chart("revenue_forecast", ORACLES["revenue_forecast"], "month", "month", "unweighted_value", "weighted_value", "deal_count"),
+    "opportunity_distribution": _chart(
+        "opportunity_distribution", ORACLES["opportunity_distribution"], "name", "list_position(['Open', 'Won', 'Lost'], name)", "value"
+    ),
+    "work_orders": _chart(
+        "work_orders", ORACLES["work_order_status"], "status",
+        "list_position(['Completed', 'In Progress', 'Pending', 'Delayed', 'Cancelled'], status)", "count",
+    ),
+    "top_deals": _chart(
+        "top_deals", _clean("SELECT id, name, value FROM facts WHERE is_open ORDER BY value DESC, id LIMIT 10"), "name", "value DESC, id", "value"
+    ),
+}
 _SHOWN = (
     ("pipeline_summary", "pipeline_stage"), ("pipeline_summary", "revenue_forecast"),
     ("open_opportunities", "pipeline_stage"), ("open_opportunities", "opportunity_distribution"),
@@ -846,7 +854,7 @@ _SHOWN = (
     ("pipeline_vs_work_orders", "work_orders"), ("stage_breakdown", "pipeline_stage"),
 )
 ORACLES["answer_charts"] = " UNION ALL ".join(
-    f"SELECT '{route}' AS route, chart, metric, key, value FROM ({_CHARTS[chart]})" for route, chart in _SHOWN
+    f"SELECT '{route}' AS route, chart, rank, metric, key, value FROM ({_CHARTS[chart]})" for route, chart in _SHOWN
 )
 _ROUTES = (
     "pipeline_summary open_opportunities top_deals delayed_work_orders work_order_summary revenue_forecast leadership_summary "
@@ -857,3 +865,59 @@ ORACLES["answer_completeness"] = " UNION ALL ".join(
     f"SELECT '{r}' AS route, " + (f"(SELECT is_complete FROM ({ORACLES[_COMPLETE[r]]}))" if r in _COMPLETE else "true") + " AS data_complete"
     for r in _ROUTES
 )
+
+
+_HEALTH_COLUMNS = (
+    "total_pipeline_value weighted_pipeline_value deal_count current_quarter_pipeline_value current_quarter_deal_count "
+    "deals_without_close_date_count"
+).split()
+_RATIO_COLUMNS = (
+    "active_deals_count active_pipeline_value completed_projects_count delayed_projects_count deals_to_delivery_ratio"
+).split()
+_BUSINESS_COLUMNS = "realized_revenue active_pipeline completed_projects delayed_projects".split()
+_ANSWER_ROWS = {
+    route: f"SELECT section, metric, key, value, detail FROM ({ORACLES[route]})"
+    for route in ("open_opportunities", "delayed_work_orders", "work_order_summary", "leadership_summary", "owner_analysis")
+} | {
+    "pipeline_summary": _rows("pipeline_summary", ORACLES["pipeline_summary"], "NULL", _same(*_HEALTH_COLUMNS)),
+    "top_deals": _rows("top_deals", ORACLES["top_deals_query"], "name", _same("value"), "stage"),
+    "revenue_forecast": _rows(
+        "revenue_forecast", ORACLES["revenue_forecast_query"], "month", _same("unweighted_value", "weighted_value", "deal_count")
+    ),
+    "pipeline_vs_work_orders": _rows("pipeline_vs_work_orders", ORACLES["pipeline_vs_work_orders"], "NULL", _same(*_RATIO_COLUMNS)),
+    "data_quality": _rows("data_quality", ORACLES["data_quality_query"], '"check"', _same("count"), "status"),
+    "stage_breakdown": _rows("stage_breakdown", ORACLES["stage_breakdown"], "stage", _same("value", "count")),
+    "general_business_health": _rows(
+        "general_business_health", ORACLES["general_business_health"], "NULL", _same(*_BUSINESS_COLUMNS)
+    ),
+}
+ORACLES["whole_answers"] = " UNION ALL ".join(
+    [
+        *(
+            f"SELECT '{r}' AS route, 'answer' AS part, NULL::INT AS rank, section, metric, key, value, detail FROM ({_ANSWER_ROWS[r]})"
+            for r in _ROUTES
+        ),
+        f"""SELECT route, 'chart' AS part, rank, chart AS section, metric, key, value, NULL AS detail
+            FROM ({ORACLES["answer_charts"]})""",
+        f"""SELECT route, 'data_complete' AS part, NULL AS rank, 'data_complete' AS section, 'data_complete' AS metric, NULL AS key,
+            data_complete::INT::DOUBLE AS value, NULL AS detail FROM ({ORACLES["answer_completeness"]})""",
+        f"""SELECT 'leadership_summary' AS route, 'note' AS part, rank, 'missing_data_notes' AS section, 'note' AS metric,
+            concat_ws('/', board, field) AS key, NULL AS value, note AS detail FROM ({ORACLES["missing_data_notes"]})""",
+    ]
+)
+
+
+def _answered(messages: str) -> str:
+    shown = " ".join(
+        f"WHEN '{route}' THEN '{', '.join(chart for r, chart in _SHOWN if r == route)}'" for route in dict(_SHOWN)
+    )
+    return f"""SELECT conversation_id, turn, text, is_ambiguous, question, route,
+          coalesce(is_ambiguous, false) OR data_complete AS data_complete,
+          CASE WHEN NOT coalesce(is_ambiguous, false) THEN CASE route {shown} ELSE '' END END AS charts,
+          CASE WHEN NOT coalesce(is_ambiguous, false) THEN CASE route WHEN 'leadership_summary' THEN coalesce(
+            (SELECT string_agg(note, ', ' ORDER BY rank) FROM ({ORACLES["missing_data_notes"]})), '') ELSE '' END END AS notes
+        FROM ({messages}) LEFT JOIN ({ORACLES["answer_completeness"]}) USING (route)"""
+
+
+ORACLES["answer_messages"] = _answered(ORACLES["route_messages"])
+ORACLES["answer_conversations"] = _answered(ORACLES["route_conversations"])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyboard.sources.sinks import stage_table
+
 
 def spine(spark: SparkSession, column: str, labels: tuple[str, ...]) -> DataFrame:
     """One row per label, in order, generated inside the JVM."""
@@ -65,6 +67,22 @@ def first_of(leaders: Column, n: int, *order: tuple[str, bool]) -> Column:
     return F.slice(F.array_sort(leaders, compare), 1, n)
 
 
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``rank`` from 1 by ``order``, however many there are.
+
+    Rows are sorted into ranges and stored with their place in their task, so that the places are found once; the window adds
+    up one count per task.
+    """
+    placed = stage_table(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    task = F.shiftright("_at", 33).alias("_task")
+    counts = placed.groupBy(task).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("_task", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    numbered = placed.withColumn("_task", F.shiftright("_at", 33)).join(F.broadcast(before), "_task")
+    rank = (F.col("_before") + F.col("_at").bitwiseAND(_PLACE_IN_TASK) + 1).cast("int").alias("rank")
+    return numbered.select(*rows.columns, rank)
+
+
 def tidy(frame: DataFrame, section: str, key: Column | None, measures: dict[str, Column], detail: Column | None = None):
     """Rows ``(section, metric, key, value, detail)``, one per measure."""
     key = F.lit(None) if key is None else key

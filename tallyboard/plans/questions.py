@@ -8,12 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyboard.functions.dates import AsOf
+from tallyboard.functions.work_rules import CATEGORIES
 from tallyboard.operators import both_boards, deals, quality, work_orders
-from tallyboard.operators.shapes import tidy, union_all
+from tallyboard.operators.messages import route_messages
+from tallyboard.operators.shapes import ranked, tidy, union_all
 from tallyboard.plans.leadership import leadership_summary
 from tallyboard.schemas import DEALS_BOARD
 
@@ -170,25 +172,51 @@ CHARTS = {
 }
 
 
+def _place_among(key: str, labels: tuple[str, ...]) -> Column:
+    return F.array_position(F.array(*[F.lit(label) for label in labels]), F.col(key)).cast("int")
+
+
+def _first_rows(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rank`` of a report of fixed length: ten deals, the months of a horizon."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+OUTCOMES = ("Open", "Won", "Lost")
+
+
 def charts(b: Business, *routes: str) -> DataFrame:
-    """``(route, chart, metric, key, value)``: the bars of the charts that go with the answers of the routes.
+    """``(route, chart, rank, metric, key, value)``: the bars of the charts that go with the answers of the routes.
 
-    A chart that several routes show is worked out once. For several charts of one board give stored tables.
+    ``rank`` is the place of a bar from 1: stages and deals by falling value, months and categories in their own order. A chart
+    that several routes show is worked out once. For several charts of one board give stored tables.
     """
 
     def bars(chart: str, frame: DataFrame, key: str, *measures: str) -> DataFrame:
-        return tidy(frame, chart, F.col(key), {m: F.col(m) for m in measures})
+        return tidy(frame, chart, F.col(key), {m: F.col(m) for m in measures}, F.col("rank"))
+
+    def stages() -> DataFrame:
+        return ranked(deals.pipeline_stage_totals(b.deals), F.col("value").desc(), F.col("stage"))
+
+    def months() -> DataFrame:
+        return _first_rows(deals.revenue_forecast(b.deals, b.as_of), F.col("month"))
+
+    def outcomes() -> DataFrame:
+        return deals.opportunity_distribution(b.deals).withColumn("rank", _place_among("name", OUTCOMES))
+
+    def categories() -> DataFrame:
+        return work_orders.work_order_status(b.work_orders).withColumn("rank", _place_among("status", CATEGORIES))
+
+    def top() -> DataFrame:
+        return _first_rows(deals.top_open_deals(b.deals).select("id", "name", "value"), F.col("value").desc(), F.col("id"))
 
     drawn = {
-        "pipeline_stage": lambda: bars("pipeline_stage", deals.pipeline_stage_totals(b.deals), "stage", "value", "count"),
+        "pipeline_stage": lambda: bars("pipeline_stage", stages(), "stage", "value", "count"),
         "revenue_forecast": lambda: bars(
-            "revenue_forecast", deals.revenue_forecast(b.deals, b.as_of), "month", "unweighted_value", "weighted_value", "deal_count"
+            "revenue_forecast", months(), "month", "unweighted_value", "weighted_value", "deal_count"
         ),
-        "opportunity_distribution": lambda: bars(
-            "opportunity_distribution", deals.opportunity_distribution(b.deals), "name", "value"
-        ),
-        "work_orders": lambda: bars("work_orders", work_orders.work_order_status(b.work_orders), "status", "count"),
-        "top_deals": lambda: bars("top_deals", deals.top_deals(b.deals), "name", "value"),
+        "opportunity_distribution": lambda: bars("opportunity_distribution", outcomes(), "name", "value"),
+        "work_orders": lambda: bars("work_orders", categories(), "status", "count"),
+        "top_deals": lambda: bars("top_deals", top(), "name", "value"),
     }
     wanted = list(dict.fromkeys(chart for route in routes for chart in CHARTS.get(route, ())))
     shown_by = F
@@ -196,7 +224,8 @@ def charts(b: Business, *routes: str) -> DataFrame:
         names = [F.lit(route) for route in routes if chart in CHARTS.get(route, ())]
         shown_by = shown_by.when(F.col("section") == chart, F.array(*names))
     every = union_all([drawn[chart]() for chart in wanted])
-    return every.select(F.explode(shown_by).alias("route"), F.col("section").alias("chart"), "metric", "key", "value")
+    place = F.col("detail").cast("int").alias("rank")
+    return every.select(F.explode(shown_by).alias("route"), F.col("section").alias("chart"), place, "metric", "key", "value")
 
 
 def completeness(b: Business) -> DataFrame:
@@ -217,3 +246,84 @@ def completeness(b: Business) -> DataFrame:
 
 def answer(route: str, business: Business) -> DataFrame:
     return ANSWERS[route](business)
+
+
+# How the answers that are not tidy rows yet are listed: the column of the key and that of the detail, all others are measures.
+_LISTED = {
+    "pipeline_summary": (None, None),
+    "top_deals": ("name", "stage"),
+    "revenue_forecast": ("month", None),
+    "pipeline_vs_work_orders": (None, None),
+    "data_quality": ("check", "status"),
+    "stage_breakdown": ("stage", None),
+    "general_business_health": (None, None),
+}
+_LEFT_OUT = ("details", "expected_close_date")
+NOTED = ("leadership_summary",)  # answers that list what is missing
+
+
+def answer_rows(route: str, b: Business) -> DataFrame:
+    """The answer as tidy rows ``(section, metric, key, value, detail)``."""
+    frame = answer(route, b)
+    if route not in _LISTED:
+        return frame
+    key, detail = _LISTED[route]
+    measures = {c: F.col(c) for c in frame.columns if c not in (key, detail, *_LEFT_OUT)}
+    return tidy(frame, route, F.col(key) if key else None, measures, F.col(detail) if detail else None)
+
+
+def whole_answers(b: Business, *routes: str) -> DataFrame:
+    """``(route, part, rank, section, metric, key, value, detail)``: all that belongs to the answers of the routes.
+
+    ``part`` is ``answer``; ``chart``, whose bars have a ``rank``; ``data_complete``, 1 or 0; and ``note``, in order of ``rank``
+    with its sentence as detail. Give stored tables: the parts read the boards one by one.
+    """
+    no_rank, text = F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string")
+    tidied = ("section", "metric", "key", "value", "detail")
+    parts = [answer_rows(r, b).select(F.lit(r).alias("route"), F.lit("answer").alias("part"), no_rank, *tidied) for r in routes]
+    if any(r in CHARTS for r in routes):
+        bars = charts(b, *[r for r in routes if r in CHARTS])
+        parts.append(bars.select("route", F.lit("chart").alias("part"), "rank", F.col("chart").alias("section"), "metric", "key", "value", text.alias("detail")))
+    complete = completeness(b).filter(F.col("route").isin(*routes))
+    flag = F.col("data_complete").cast("int").cast("double").alias("value")
+    named = [F.lit("data_complete").alias(c) for c in ("part", "section", "metric")]
+    parts.append(complete.select("route", named[0], no_rank, *named[1:], text.alias("key"), flag, text.alias("detail")))
+    if noted := [r for r in routes if r in NOTED]:
+        notes = quality.missing_data_notes(b.deals_meta, b.work_orders_meta)
+        place = F.concat_ws("/", "board", "field").alias("key")
+        parts.append(
+            notes.select(
+                F.explode(F.array(*[F.lit(r) for r in noted])).alias("route"), F.lit("note").alias("part"), "rank",
+                F.lit("missing_data_notes").alias("section"), F.lit("note").alias("metric"), place,
+                F.lit(None).cast("double").alias("value"), F.col("note").alias("detail"),
+            )
+        )
+    return union_all(parts)
+
+
+def answer_sheet(b: Business) -> DataFrame:
+    """``(route, data_complete, charts, notes)``: a row per route, with the names of its charts and its notes in order."""
+    names = F.create_map(*[x for r in ANSWERS for x in (F.lit(r), F.array(*[F.lit(c) for c in CHARTS.get(r, ())]).cast("array<string>"))])
+    listed = quality.missing_data_notes(b.deals_meta, b.work_orders_meta)
+    # As many notes as the boards have fields, and no rows where nothing is missing.
+    listed = listed.agg(F.array_sort(F.collect_list(F.struct("rank", "note"))).alias("listed"))
+    notes = listed.select(F.explode(F.array(*[F.lit(r) for r in NOTED])).alias("route"), F.col("listed.note").alias("notes"))
+    joined = completeness(b).join(F.broadcast(notes), "route", "left")  # a row per name in NOTED
+    none = F.array().cast("array<string>")
+    return joined.select("route", "data_complete", names[F.col("route")].alias("charts"), F.coalesce("notes", none).alias("notes"))
+
+
+def answer_messages(messages: DataFrame, b: Business) -> DataFrame:
+    """Each message with its route and what its answer comes with: ``data_complete``, ``charts`` and ``notes``.
+
+    An ambiguous message is asked back: it counts as complete and has neither charts nor notes. Messages are not shuffled, the
+    sheet has a row per route.
+    """
+    routed = route_messages(messages).join(F.broadcast(answer_sheet(b)), "route", "left")
+    vague = F.coalesce("is_ambiguous", F.lit(False))  # a message without text is not ambiguous
+    return routed.select(
+        "conversation_id", "turn", "text", "is_ambiguous", "question", "route",
+        (vague | F.col("data_complete")).alias("data_complete"),
+        F.when(~vague, F.col("charts")).alias("charts"),
+        F.when(~vague, F.col("notes")).alias("notes"),
+    )

@@ -12,7 +12,8 @@ import __spark_entry__ as entry
 from tallyboard.functions.numbers import money_of_list, money_of_parts, money_parts, money_total
 from tallyboard.operators import cleaning, deals, quality
 from tallyboard.operators.filters import DashboardFilters, filter_deals, filter_work_orders
-from tallyboard.operators.shapes import first_of, with_leaders
+from tallyboard.operators.shapes import first_of, ranked, with_leaders
+from tallyboard.plans import questions
 from tallyboard.schemas import DEALS_BOARD, WORK_ORDERS_BOARD
 from tallyboard.sources import derived, laid_out
 
@@ -170,3 +171,53 @@ def test_a_hot_month_is_split(spark, tmp_path):
     owners = [r.owner for r in spark.read.parquet(files[0]).collect()]
     assert owners == sorted(owners)
     assert laid_out.scan_laid_out(spark, path, laid_out.DEALS_LAYOUT).count() == 60_000
+
+
+def test_ranks_over_many_tasks(spark):
+    rows = spark.range(0, 5000, 1, 16).select("id", (F.col("id") * 7919 % 1000).alias("value"))
+    wanted = {r.id: i for i, r in enumerate(sorted(rows.collect(), key=lambda r: (-r.value, r.id)), 1)}
+    ranks = ranked(rows, F.col("value").desc(), F.col("id"))
+    assert {r.id: r["rank"] for r in ranks.collect()} == wanted
+    assert ranked(rows.limit(0), F.col("id")).count() == 0
+
+
+def test_messages_with_all_that_their_answer_comes_with(spark):
+    said = [(1, 1, "How is the pipeline?"), (1, 2, "Status"), (2, 1, "weekly update please"), (3, 1, None), (4, 1, "who owns it")]
+    said = spark.createDataFrame(said, "conversation_id long, turn int, text string")
+    schema = "board string, metric string, field string, count long"
+    deals_meta = spark.createDataFrame([("Deals", "total_rows", None, 9), ("Deals", "missing_field", "value", 2)], schema)
+    orders_meta = spark.createDataFrame([("Work Orders", "total_rows", None, 9), ("Work Orders", "dropped_rows", None, 1)], schema)
+
+    def told(deals_meta, orders_meta):
+        b = questions.Business("2026-07-27", None, None, lambda: deals_meta, lambda: orders_meta)
+        answers = questions.answer_messages(said, b)
+        plan = answers._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+        return {(r.conversation_id, r.turn): (r.route, r.data_complete, r.charts, r.notes) for r in answers.collect()}
+
+    notes = ["Deals board: 2 values missing/malformed in 'value' column.", "Work Orders board: 1 duplicate row(s) dropped."]
+    found = told(deals_meta, orders_meta)
+    assert found == {
+        (1, 1): ("pipeline_summary", False, ["pipeline_stage", "revenue_forecast"], []),
+        (1, 2): ("general_business_health", True, None, None),
+        (2, 1): ("leadership_summary", False, [], notes),
+        (3, 1): ("general_business_health", True, [], []),
+        (4, 1): ("owner_analysis", True, [], []),
+    }
+    whole = told(deals_meta.limit(0), orders_meta.limit(0))
+    assert whole[1, 1][1:] == (True, ["pipeline_stage", "revenue_forecast"], []) and whole[2, 1][1:] == (True, [], [])
+
+
+def test_bars_have_the_order_of_their_chart(spark):
+    rows = entry.queries()["answer_charts"](spark, SF).collect()
+
+    def of(chart, metric):
+        return [r for r in sorted(rows, key=lambda r: (r.route, r["rank"])) if r.chart == chart and r.metric == metric]
+
+    for chart, metric in (("pipeline_stage", "value"), ("top_deals", "value"), ("work_orders", "count"), ("revenue_forecast", "deal_count")):
+        for route in {r.route for r in of(chart, metric)}:
+            bars = [r for r in of(chart, metric) if r.route == route]
+            assert [r["rank"] for r in bars] == list(range(1, len(bars) + 1))
+            if chart in ("pipeline_stage", "top_deals"):
+                assert [r.value for r in bars] == sorted((r.value for r in bars), reverse=True)
+    assert [r.key for r in of("work_orders", "count")][:5] == ["Completed", "In Progress", "Pending", "Delayed", "Cancelled"]
