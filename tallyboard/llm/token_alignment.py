@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +33,6 @@ MAX_PAIRS = 1 << 22  # id pairs whose counts are broadcast at once, 17 bytes eac
 CACHED_WORDS = 400_000
 SIDE_BITS = 24  # of an id pair's code, for the second id
 WORD = re.compile(" +[^ ]*|[^ ]+")
-ALTERED = b"\xff"  # stands for the ids of a word that they do not spell; no ids are one byte long
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
@@ -54,24 +54,40 @@ class PieceIds:
             else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.sizes = np.array(list(map(len, self.bytes)), dtype=np.int64)
         self.first = {" ": np.array([space], dtype=np.int32).tobytes()}  # a last space: the model gives an empty text no piece
-        self.known = dict(self.first)
+        self.known, self.altered = dict(self.first), set()  # words whose ids do not spell them are known too
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode several words in one call, and compare their bytes at once where every word has the length of its ids."""
+        listed = self.model.encode([word[1:] for word in words], num_threads=1)
+        ids = np.array(list(chain.from_iterable(listed)), dtype=np.int32)
+        raw = [word.encode() for word in words]
+        stops = np.cumsum([0, *map(len, listed)])
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[stops[1:]]
+        spelt = b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        if np.array_equal(ends, np.cumsum(list(map(len, raw)))) and spelt == b"".join(raw):
+            packed, bounds = ids.tobytes(), (stops * ids.itemsize).tolist()
+            self.known.update((word, packed[lo:hi]) for word, lo, hi in zip(words, bounds, bounds[1:]))
+            return
+        for word, own, pieces in zip(words, raw, listed):
+            self.known[word] = np.array(pieces, dtype=np.int32).tobytes()
+            if b"".join(map(self.bytes.__getitem__, pieces)) != own:
+                self.altered.add(word)
 
     def encode(self, spaced: str) -> np.ndarray | None:
         """None where the bytes of the ids are not those of the text."""
         if not self.by_word:
             return _unaltered(np.array(self.model.encode(spaced[1:]), dtype=np.int32), self.bytes, spaced)
         if len(self.known) > CACHED_WORDS:
-            self.known = dict(self.first)
+            self.known, self.altered = dict(self.first), set()
         words = WORD.findall(spaced)
-        found = list(map(self.known.get, words))
-        if None in found:
-            new = list({word for word, ids in zip(words, found) if ids is None})
-            for word, ids in zip(new, self.model.encode([word[1:] for word in new], num_threads=1)):
-                kept = _unaltered(np.array(ids, dtype=np.int32), self.bytes, word)
-                self.known[word] = ALTERED if kept is None else kept.tobytes()
-            found = list(map(self.known.__getitem__, words))
-        return None if ALTERED in found else np.frombuffer(b"".join(found), dtype=np.int32)
+        distinct = set(words)
+        if new := distinct.difference(self.known):
+            self._learn(list(new))
+        if not self.altered.isdisjoint(distinct):
+            return None
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype=np.int32)
 
 
 def _unaltered(ids: np.ndarray, listed: list[bytes], text: str) -> np.ndarray | None:
@@ -79,17 +95,20 @@ def _unaltered(ids: np.ndarray, listed: list[bytes], text: str) -> np.ndarray |
 
 
 class Side(NamedTuple):
-    """One tokenizer: its encoder, and the bytes, length and decimal text of each id."""
+    """One tokenizer: its encoder, and for each id its length and its decimal text within a group and at the end of its part."""
 
     encode: object
-    bytes: list[bytes]
     sizes: np.ndarray
-    decimal: np.ndarray
+    inner: np.ndarray
+    last: np.ndarray
 
 
-def _side(encode, listed: list[bytes]) -> Side:
+DECIMAL = "S9"  # eight digits, as ids of `SIDE_BITS` have at most, and a mark
+
+
+def _side(encode, listed: list[bytes], mark: str) -> Side:
     sizes = np.array([len(b) for b in listed], dtype=np.int64)
-    return Side(encode, listed, sizes, np.array([str(i) for i in range(len(listed))], dtype=object))
+    return Side(encode, sizes, *[np.array([f"{i}{end}" for i in range(len(listed))], dtype=DECIMAL) for end in (",", mark)])
 
 
 @lru_cache(maxsize=2)
@@ -105,7 +124,7 @@ def sides(byte_file: str, piece_file: str) -> tuple[Side, Side]:
     def encode(spaced: str) -> np.ndarray | None:  # merges of bytes alter nothing; other files are checked
         return a.encode(spaced) if a.words else _unaltered(a.encode(spaced), listed, spaced)
 
-    return _side(encode, listed), _side(b.encode, b.bytes)
+    return _side(encode, listed, "|"), _side(b.encode, b.bytes, ";")
 
 
 def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,34 +140,36 @@ def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return group[: len(a_sizes)], group[len(a_sizes) :]
 
 
-def _written(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> np.ndarray:
-    """Decimal ids with the mark that follows each, in the order of `a1,a2|b1;a3|b2,b3`."""
+def _written(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, a_side: Side, b_side: Side) -> np.ndarray:
+    """Decimal ids with the mark that follows each, in the order of `a1,a2|b1;a3|b2,b3`, each padded with zero bytes."""
     n_a, n_b = np.cumsum(in_a), np.cumsum(in_b)
-    out = np.empty(len(a) + len(b), dtype=object)
+    out = np.empty(len(a) + len(b), dtype=DECIMAL)
     a_before, b_before = np.repeat(n_b - in_b, in_a), np.repeat(n_a, in_b)
-    for ids, before, last, end in ((a, a_before, n_a - 1, "|"), (b, b_before, n_b - 1, ";")):
-        mark = np.full(len(ids), ",", dtype=object)
-        mark[last] = end
-        out[np.arange(len(ids)) + before] = ids + mark
+    for side, ids, before, last in ((a_side, a, a_before, n_a - 1), (b_side, b, b_before, n_b - 1)):
+        place = np.arange(len(ids)) + before
+        out[place] = side.inner[ids]
+        out[place[last]] = side.last[ids[last]]
     return out
 
 
-def _digests(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, stops: np.ndarray) -> list[str]:
-    """sha256 of `a1,a2|b1;a3|b2,b3` for each text; the groups of text i end before `stops[i]`. `a`, `b` are decimal ids."""
+def _digests(
+    a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, stops: np.ndarray, a_side: Side, b_side: Side
+) -> list[str]:
+    """sha256 of `a1,a2|b1;a3|b2,b3` for each text; the groups of text i end before `stops[i]`."""
     digests = [hashlib.sha256() for _ in stops]
     n_a, n_b = np.cumsum(in_a), np.cumsum(in_b)
     text = 0
     for lo in range(0, len(in_a), GROUPS_AT_ONCE):
         hi = min(len(in_a), lo + GROUPS_AT_ONCE)
         a_lo, b_lo = int(n_a[lo] - in_a[lo]), int(n_b[lo] - in_b[lo])
-        written = _written(a[a_lo : n_a[hi - 1]], b[b_lo : n_b[hi - 1]], in_a[lo:hi], in_b[lo:hi])
+        written = _written(a[a_lo : n_a[hi - 1]], b[b_lo : n_b[hi - 1]], in_a[lo:hi], in_b[lo:hi], a_side, b_side)
         start = lo
         while start < hi:
             stop = min(hi, int(stops[text]))
             first, last = (int(n_a[g] + n_b[g]) - a_lo - b_lo for g in (start, stop - 1))
-            joined = "".join(written[first - int(in_a[start] + in_b[start]) : last].tolist())
+            joined = written[first - int(in_a[start] + in_b[start]) : last].tobytes().translate(None, b"\0")
             over = stop == stops[text]
-            digests[text].update((joined[:-1] if over else joined).encode())
+            digests[text].update(joined[:-1] if over else joined)
             text += over
             start = stop
     return [d.hexdigest() for d in digests]
@@ -165,11 +186,23 @@ def _linked_pairs(a: np.ndarray, b: np.ndarray, ga: np.ndarray, in_b: np.ndarray
         row = np.repeat(np.arange(start, stop), own)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
         pair = (a[row] << SIDE_BITS) | b[first_b[ga[row]] + nth]
-        parts.append(_counted(text_of_a[row], pair, np.ones(len(row), dtype=np.int64)))
+        parts.append(_counted_once(text_of_a[row], pair))
         start = stop
     return _counted(*map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0]
 
 
+def _counted_once(text: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, ...]:
+    """`_counted` of single links, by one sort of text and pair in one number where they fit."""
+    bits = int(pair.max()).bit_length()
+    first = int(text[0])  # texts are in order
+    if bits + int(text[-1] - first).bit_length() > 63:
+        return _counted(text, pair, np.ones(len(text), dtype=np.int64))
+    keys = np.sort(((text - first) << bits) | pair)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    kept = keys[new]
+    return (kept >> bits) + first, kept & ((1 << bits) - 1), np.diff(new, append=len(keys))
+
+
 def _counted(text: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((pair, text))
     text, pair = text[order], pair[order]
@@ -202,7 +235,7 @@ def align_texts(texts: list[str | None], a_side: Side, b_side: Side) -> dict[str
     links = np.add.reduceat(in_a * in_b, starts)
     text, pair, times = _linked_pairs(a, b, ga, in_b, np.repeat(np.arange(len(kept)), n_a))
     cut = np.searchsorted(text, np.arange(len(kept) + 1))
-    digests = _digests(a_side.decimal[a], b_side.decimal[b], in_a, in_b, stops)
+    digests = _digests(a, b, in_a, in_b, stops, a_side, b_side)
     for k, i in enumerate(kept):
         own = slice(cut[k], cut[k + 1])
         found = (int(n_a[k]), int(n_b[k]), int(stops[k] - starts[k]), int(links[k]), digests[k], pair[own], times[own])
