@@ -153,8 +153,10 @@ def _weighing(c: Callable[[str], Column]) -> tuple[Column, Column, Column]:
 def _landed(spark: SparkSession, sf_dir: str, board: str) -> str:
     """Land a board as a chain of result pages."""
     path = sinks.fresh_path(spark, f"pages-{board}")
-    items = derived.deal_items(spark, sf_dir) if board == "deals" else derived.work_order_items(spark, sf_dir)
-    derived.land_pages(items, F.col("seq"), path)
+    if board == "deals":
+        derived.land_pages(derived.raw_deals(spark, sf_dir), F.col("seq"), path, cells=derived.DEAL_CELLS)
+    else:
+        derived.land_pages(derived.raw_work_orders(spark, sf_dir), F.col("seq"), path, cells=derived.ORDER_CELLS)
     return path
 
 

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tallyboard.sources.sinks import stage_table
 
 AS_OF = "2000-07-27"
 PAGE_ITEMS = 100  # items of a landed result page
+TASK_ITEMS = 200_000  # items with their cells that a task holds while it makes pages of them
 
 # One message per index, over all routes, three ambiguous ones and a trap
 # ("stop" contains "top").
@@ -130,16 +133,18 @@ def flat_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_work_orders(spark, sf_dir).withColumn("titles_present", F.expr("31L"))
 
 
+_KEY = "(seq div 2)"  # order key of a deal
+
 # Cells of a deal, in order: when present, title, text.
 _DEAL_CELLS = (
-    ("k % 2 = 0", "Sector", "sector"),
-    ("k % 2 <> 0", "Sector/service", "sector"),
-    ("k % 13 = 0", "Stage", "'Lead'"),
+    (f"{_KEY} % 2 = 0", "Sector", "sector"),
+    (f"{_KEY} % 2 <> 0", "Sector/service", "sector"),
+    (f"{_KEY} % 13 = 0", "Stage", "'Lead'"),
     ("true", " Stage", "stage"),
     ("true", "Masked Deal value", "value"),
     ("true", "Probability", "probability"),
     ("true", "Expected Close Date", "expected_close_date"),
-    ("k % 11 = 0", "Owner", "'Former Rep'"),
+    (f"{_KEY} % 11 = 0", "Owner", "'Former Rep'"),
     ("true", "Owner code", "owner"),
 )
 _ORDER_CELLS = (
@@ -157,7 +162,10 @@ def _cells(listed: tuple[tuple[str, str, str], ...]) -> str:
         f"'text', {text}, 'value', '\"' || {text} || '\"'), NULL)"
         for present, title, text in listed
     ]
-    return f"array_compact(array({', '.join(cells)})) AS column_values"
+    return f"array_compact(array({', '.join(cells)}))"
+
+
+DEAL_CELLS, ORDER_CELLS = _cells(_DEAL_CELLS), _cells(_ORDER_CELLS)  # of a row of `raw_deals` or `raw_work_orders`
 
 
 def deal_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,43 +174,51 @@ def deal_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     Sector alternates between two titles, every eleventh order carries an outdated owner under
     an earlier title, every thirteenth its stage twice, so that aliases and repeated titles count.
     """
-    keyed = raw_deals(spark, sf_dir).withColumn("k", F.expr("seq div 2"))
-    return keyed.selectExpr("seq", "id", "name", _cells(_DEAL_CELLS))
+    return raw_deals(spark, sf_dir).selectExpr("seq", "id", "name", f"{DEAL_CELLS} AS column_values")
 
 
 def work_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_work_orders(spark, sf_dir).selectExpr("seq", "id", "name", _cells(_ORDER_CELLS))
+    return raw_work_orders(spark, sf_dir).selectExpr("seq", "id", "name", f"{ORDER_CELLS} AS column_values")
 
 
-def land_pages(items: DataFrame, order: Column, path: str, page_items: int = PAGE_ITEMS) -> None:
+def land_pages(
+    items: DataFrame, order: Column, path: str, page_items: int = PAGE_ITEMS, cells: str = "column_values"
+) -> None:
     """Write items as a chain of result pages of ``page_items`` each, in the given order.
 
-    Page 0 has the shape of a first page, the rest that of later ones; all but the last hand on a cursor. The sorted items
-    are stored, and an item's number is its file's first one plus its place in the file: no window over the whole board.
+    Page 0 has the shape of a first page, the rest that of later ones; all but the last hand on a cursor. ``cells`` is SQL for
+    an item's cells: the sorted rows are stored, and brought together by page, without them. An item's number is its file's
+    first one plus its place in the file: no window over the whole board.
     """
-    cells = F.transform(
-        "column_values",
+    stored = stage_table(items.orderBy(order), "sorted-items")
+    total = stored.count()  # of the files' footers
+    place = stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    files = place.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each file that a task wrote
+    files = files.select("_file", (F.sum("_rows").over(Window.orderBy("_file")) - F.col("_rows")).alias("_before"))
+    numbered = place.join(F.broadcast(files), "_file").withColumn("nth", F.col("_before") + F.col("_place"))
+    paged = numbered.drop("_file", "_place", "_before").withColumn("page", F.expr(f"nth div {page_items}"))
+    together = paged.repartition(max(1, math.ceil(total / TASK_ITEMS)), "page")
+    listed = F.transform(
+        F.expr(cells),
         lambda c: F.struct(c["id"].alias("id"), F.struct(c["title"].alias("title")).alias("column"), c["text"], c["value"]),
     )
-    item = F.struct("id", "name", cells.alias("column_values"))
-    stored = stage_table(items.orderBy(order).select(item.alias("item")), "sorted-items")
-    place = stored.select("item", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-    files = place.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))  # a row for each file that a task wrote
-    before = F.sum("rows").over(Window.orderBy("file")) - F.col("rows")
-    files = files.select("file", before.alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
-    numbered = place.join(files, "file").withColumn("nth", F.col("before") + F.col("place"))
-    pages = numbered.groupBy(F.expr(f"nth div {page_items}").alias("page")).agg(
-        F.array_sort(F.collect_list(F.struct("nth", "item"))).alias("own"),  # at most `page_items`
-        F.first(F.expr(f"(total - 1) div {page_items}")).alias("last"),
+    item = F.struct("id", "name", listed.alias("column_values"))
+    pages = together.select("page", F.struct("nth", item.alias("item")).alias("numbered")).groupBy("page").agg(
+        F.array_sort(F.collect_list("numbered")).alias("own"),  # at most `page_items`
     )
-    cursor = F.when(F.col("page") < F.col("last"), F.concat(F.lit("after-"), "page"))
+    cursor = F.when(F.col("page") < (total - 1) // page_items, F.concat(F.lit("after-"), "page"))
     listed = F.struct(cursor.alias("cursor"), F.transform("own", lambda x: x["item"]).alias("items"))
     first = F.col("page") == 0
     data = F.struct(
         F.when(first, F.array(F.struct(listed.alias("items_page")))).alias("boards"),
         F.when(~first, listed).alias("next_items_page"),
     )
-    pages.select("page", data.alias("data")).write.json(path)
+    write_pages(pages.select("page", data.alias("data")), path)
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Result pages as compressed JSON lines: titles and ids of columns come again in every item."""
+    pages.write.option("compression", "gzip").json(path)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import glob
+import gzip
 import json
 import os
 import threading
@@ -229,6 +230,29 @@ def test_landed_pages_are_a_chain_in_order(spark, tmp_path):
         assert max(r.pos for r in found) == min(size, len(found)) - 1
 
 
+def test_landing_writes_cells_once_and_compressed(spark, tmp_path):
+    """Rows are sorted and brought together without their cells; what is stored stays far below the size of the pages."""
+    for raw, cells, nested in (
+        (derived.raw_deals, derived.DEAL_CELLS, derived.deal_items),
+        (derived.raw_work_orders, derived.ORDER_CELLS, derived.work_order_items),
+    ):
+        path, items = str(tmp_path / raw.__name__), nested(spark, SF)
+        with sinks.temporary_tables(spark) as held:
+            derived.land_pages(raw(spark, SF), F.col("seq"), path, cells=cells)
+            [sorted_items] = held.paths
+            assert "column_values" not in spark.read.parquet(sorted_items).columns
+        files = glob.glob(f"{path}/part-*")
+        assert files and all(f.endswith(".json.gz") for f in files)
+        text = sum(len(gzip.open(f).read()) for f in files)
+        assert 5 * sum(os.path.getsize(f) for f in files) < text
+        found = boards.scan_board_pages(spark, path).orderBy("seq").collect()
+        wanted = items.orderBy("seq").collect()
+        assert [(r.page, r.pos) for r in found] == [divmod(i, derived.PAGE_ITEMS) for i in range(len(wanted))]
+        assert sorted((r.id, r.name, str([tuple(c) for c in r.column_values])) for r in found) == sorted(
+            (r.id, r.name, str([tuple(c) for c in r.column_values])) for r in wanted
+        )
+
+
 def test_pretty_printed_pages_of_both_boards(spark, tmp_path):
     for name in ("deals", "orders"):
         (tmp_path / name).mkdir()
