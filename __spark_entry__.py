@@ -174,7 +174,7 @@ def _damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole, path = _landed(spark, sf_dir, "deals"), sinks.fresh_path(spark, "pages-damaged")
     pages = spark.read.schema(page_of(RAW_ITEM)).json(whole)
     open_end = F.coalesce("data.next_items_page.cursor", F.get("data.boards", F.lit(0))["items_page"]["cursor"]).isNotNull()
-    pages.filter((F.col("page") % 7 != 3) & open_end).write.json(path)
+    derived.write_pages(pages.filter((F.col("page") % 7 != 3) & open_end), path)
     left = boards.scan_board_pages(spark, path, skip_bad=True).groupBy(F.col("page").cast("string").alias("field")).count()
     kept = left.select(F.lit("Deals").alias("board"), F.lit("page_items").alias("metric"), "field", "count")
     return boards.page_meta(spark, path, "Deals").unionByName(kept)
