@@ -97,6 +97,7 @@ def flatten_items(items: DataFrame, spec: BoardSpec) -> DataFrame:
 
 # Repeated ids that are broadcast, and their bytes; a board with more or longer ones is shuffled by id.
 REPEATED_IDS, ID_BYTES = 1 << 18, 256
+SHARES = 16  # parts of the ids, of which one may already have too many repeated ones
 
 
 def repeated_ids(flat: DataFrame) -> DataFrame:
@@ -118,40 +119,66 @@ def _limited(flat: DataFrame) -> DataFrame:
 
 
 def _few_repeated(flat: DataFrame, limit: int) -> pa.Table | None:
-    """The repeated ids, if there are at most ``limit`` of at most ``ID_BYTES`` bytes."""
+    """The repeated ids, if there are at most ``limit`` of at most ``ID_BYTES`` bytes.
+
+    One of ``SHARES`` parts of the ids is looked at first: if it alone has more, there is no need to shuffle the others.
+    """
+    share = F.pmod(F.xxhash64("id"), F.lit(SHARES)) == 0
+    if repeated_ids(flat.filter(share)).limit(limit + 1).count() > limit:
+        return None
     long = F.coalesce(F.octet_length("id") > ID_BYTES, F.lit(False))
     found = repeated_ids(flat).select(F.when(~long, F.col("id")).alias("id"), "copies", "first", "firsts", long.alias("long"))
     table = found.limit(limit + 1).toArrow()
     return None if len(table) > limit or pc.any(table["long"]).as_py() else table.drop_columns("long")
 
 
+def _counted(flat: DataFrame) -> DataFrame:
+    """First rows with ``copies`` by one aggregate: a task sends one row for each of its ids, and no join is needed."""
+    others = [F.col(name) for name in flat.columns if name != "id"]
+    firsts = flat.groupBy("id").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.min_by(F.struct(*others), F.struct("seq")).alias("_row"),  # a struct: no ``seq`` counts as the least one
+    )
+    return firsts.select("id", "_row.*", "copies").select(*flat.columns, "copies")
+
+
+def _marked_first(flat: DataFrame, repeated: pa.Table) -> DataFrame:
+    """First rows with ``copies``, null for unique ids; the repeated ids are broadcast."""
+    known = flat.sparkSession.createDataFrame(repeated.rename_columns(["_id", "copies", "_first", "_firsts"]))
+    seen = flat.join(F.broadcast(known), F.col("id").eqNullSafe(F.col("_id")), "left")
+    first = F.col("seq").eqNullSafe(F.col("_first"))
+    kept = seen.filter(F.col("copies").isNull() | (first & (F.col("_firsts") == 1)))
+    if pc.max(repeated["firsts"]).as_py() > 1:
+        kept = kept.unionByName(_limited(seen.filter(first & (F.col("_firsts") > 1))))
+    return kept.drop("_id", "_first", "_firsts")
+
+
+def _first_of_few(flat: DataFrame, limit: int) -> DataFrame | None:
+    repeated = _few_repeated(flat, limit)
+    if repeated is None:
+        return None
+    kept = _marked_first(flat, repeated) if len(repeated) else flat.withColumn("copies", F.lit(1))
+    return kept.withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
+
+
 def first_rows(flat: DataFrame, limit: int = REPEATED_IDS) -> DataFrame:
     """The first row of each id by ``seq``, with ``copies``, the number of rows the id has. For whole rows of a board.
 
     A pass over ids and places alone, run at once, tells which ids repeat. Up to ``limit`` of them are broadcast and the rows
-    pass them where they are: a row of a unique id is neither shuffled nor sorted. With more, the rows are shuffled by id.
+    pass them where they are: a row of a unique id is neither shuffled nor sorted. With more, the rows are shuffled by id, once.
     Where several rows of an id share the first place, any one of them is kept.
     """
-    repeated = _few_repeated(flat, limit)
-    if repeated is None:
-        copies = repeated_ids(flat).select(F.col("id").alias("_id"), "copies")
-        kept = _limited(flat).join(copies, F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    elif not len(repeated):
-        kept = flat.withColumn("copies", F.lit(1))
-    else:
-        known = flat.sparkSession.createDataFrame(repeated.rename_columns(["_id", "copies", "_first", "_firsts"]))
-        seen = flat.join(F.broadcast(known), F.col("id").eqNullSafe(F.col("_id")), "left")
-        first = F.col("seq").eqNullSafe(F.col("_first"))
-        kept = seen.filter(F.col("copies").isNull() | (first & (F.col("_firsts") == 1)))
-        if pc.max(repeated["firsts"]).as_py() > 1:
-            kept = kept.unionByName(_limited(seen.filter(first & (F.col("_firsts") > 1))))
-        kept = kept.drop("_id", "_first", "_firsts")
-    return kept.withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
+    few = _first_of_few(flat, limit)
+    return _counted(flat) if few is None else few
 
 
 def dedupe_items(flat: DataFrame, limit: int = REPEATED_IDS) -> DataFrame:
-    """Keep the first row of each id by ``seq``; only ids that repeat are looked up, see ``first_rows``."""
-    return first_rows(flat, limit).drop("copies")
+    """Keep the first row of each id by ``seq``; only ids that repeat are looked up, see ``first_rows``.
+
+    With more than ``limit`` of them the rows go through a window alone: nothing is counted.
+    """
+    few = _first_of_few(flat, limit)
+    return _limited(flat) if few is None else few.drop("copies")
 
 
 def _cased(flat: DataFrame, spec: BoardSpec, *others: str | Column) -> DataFrame:

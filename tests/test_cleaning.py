@@ -101,6 +101,16 @@ def test_first_rows_count_copies_and_break_ties(spark, limit):
     assert {r.copies for r in cleaning.first_rows(long, limit).collect()} == {1, 2, 4} and cleaning.first_rows(long, limit).count() == 5
 
 
+def test_many_repeated_ids_shuffle_their_rows_once(spark):
+    few, many = cleaning.first_rows(skewed(spark)), cleaning.first_rows(skewed(spark), limit=0)
+    plan = plan_of(many)
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert "Join" not in plan_of(cleaning.dedupe_items(skewed(spark), limit=0))
+    assert many.columns == few.columns and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+    rows = spark.createDataFrame([(None, "a", "x"), (1, "a", "y"), (2, "b", None)], "seq long, id string, text string")
+    assert sorted((r.id, r.text, r.copies) for r in cleaning.first_rows(rows, limit=0).collect()) == [("a", "x", 2), ("b", None, 1)]
+
+
 def test_marks_under_skew(spark):
     marked = cleaning.clean_marked(skewed(spark), DEALS_BOARD)
     hot = marked.filter("id = 'hot'").first()
