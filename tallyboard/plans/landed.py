@@ -23,6 +23,7 @@ BATCH_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.-]*")
 IDS = "id string, batch string"
 DEAL_SUMS = "section string, key string, stage string, exact decimal(38,6), rest double, n long, batch string"
 ORDER_SUMS = "section string, key string, status string, due_date date, n long, batch string"
+SUMMED = {"deals": ("sector", "owner", "stage", "value"), "orders": ("sector", "assigned_to", "status", "due_date")}
 
 
 def deal_sums(deals: DataFrame) -> DataFrame:
@@ -72,8 +73,8 @@ class LandedSums:
     def land(self, batch: str, deals: DataFrame, work_orders: DataFrame) -> None:
         """Add a batch of clean rows, of which each id comes once. Either board may be empty.
 
-        The rows are read once and stored while they are added up. Of earlier batches the ids alone are read, to find those
-        that come again.
+        The rows are read once. Of earlier batches the ids alone are read, and met with the rows in one join, whose result is
+        stored while it is added up; a first batch is stored as it comes.
         """
         if not BATCH_NAME.fullmatch(batch):
             raise ValueError(f"not a name of a folder: {batch!r}")
@@ -85,12 +86,12 @@ class LandedSums:
         files.create(place, False).close()
 
     def _add(self, batch: str, board: str, rows: DataFrame, sums: Callable[[DataFrame], DataFrame]) -> None:
-        rows = stage_table(rows, f"landing-{board}")
-        own = rows.select(F.col("id").alias("_id"))
-        earlier = self._table(f"{board}-ids", IDS).select("id")
-        again = stage_table(earlier.join(own, F.col("id").eqNullSafe(F.col("_id")), "left_semi"), f"again-{board}")
-        again = again.select(F.col("id").alias("_id"))
-        new = rows.join(again, F.col("id").eqNullSafe(F.col("_id")), "left_anti")
+        if self.batches():
+            earlier = self._table(f"{board}-ids", IDS).select("id")
+            if not earlier.filter("id IS NULL").isEmpty():  # null ids are few, often none: row groups without are skipped
+                rows = rows.filter("id IS NOT NULL")
+            rows = rows.join(earlier, "id", "left_anti")  # by plain equality, so that rows shuffled by id stay where they are
+        new = stage_table(rows.select("id", *SUMMED[board]), f"landing-{board}")
         sums(new).write.mode("overwrite").parquet(f"{self.path}/{board}-sums/batch={batch}")
         new.select("id").write.mode("overwrite").parquet(f"{self.path}/{board}-ids/batch={batch}")
 

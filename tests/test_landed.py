@@ -9,6 +9,7 @@ import random
 import pytest
 
 from tallyboard.operators import both_boards, deals, work_orders
+from tallyboard.plans import landed
 from tallyboard.plans.landed import LandedSums
 from tallyboard.schemas import DEALS, WORK_ORDERS
 
@@ -87,3 +88,16 @@ def test_reports_read_sums_alone(spark, tmp_path):
     assert len(found.inputFiles()) >= 2 and all("-sums/batch=1/" in file for file in found.inputFiles())
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == plan.count("PartitionFilters: [") == 2 and "PartitionFilters: []" not in plan
+
+
+def test_a_batch_is_stored_once_and_only_what_is_summed(spark, tmp_path, monkeypatch):
+    rng, stored, stage = random.Random(10), [], landed.stage_table
+    monkeypatch.setattr(landed, "stage_table", lambda rows, name: stored.append((name, *rows.columns)) or stage(rows, name))
+    d1, w1 = boards(spark, rng, ["a", "b", None], "first")
+    d2, w2 = boards(spark, rng, ["b", None, "c"], "second")
+    sums = LandedSums(spark, f"{tmp_path}/sums")
+    sums.land("1", d1, w1)
+    sums.land("2", d2, w2)
+    deals_columns, orders_columns = ("id", "sector", "owner", "stage", "value"), ("id", "sector", "assigned_to", "status", "due_date")
+    assert sorted(stored) == [("landing-deals", *deals_columns)] * 2 + [("landing-orders", *orders_columns)] * 2
+    same(sums, d1.unionByName(d2.filter("id = 'c'")), w1.unionByName(w2.filter("id = 'c'")))
