@@ -392,7 +392,7 @@ LANDED_SHARES = ((0.0, 0.4), (0.3, 0.7), (0.6, 1.0))  # of the items' order; wha
 def _landed_sums(spark: SparkSession, sf_dir: str) -> LandedSums:
     """All items of both boards, landed as three batches that overlap."""
     both = ((derived.flat_deals(spark, sf_dir), DEALS_BOARD), (derived.flat_work_orders(spark, sf_dir), WORK_ORDERS_BOARD))
-    ends = [flat.agg(F.min("seq"), F.max("seq")).first() for flat, _ in both]
+    ends = sinks.in_parallel(lambda one: one[0].agg(F.min("seq"), F.max("seq")).first(), both)
     sums = LandedSums(spark, sinks.fresh_path(spark, "landed-sums"))
     for number, shares in enumerate(LANDED_SHARES):
         batch = []
