@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from brute import Groups, benchmark_matches, edits, near_components, simhash, without_repeated_lines, without_repeats
 from pyspark.sql import functions as F
@@ -142,6 +143,17 @@ def test_suffix_dedup_rows_without_doc_id_meet_their_own_spans_alone(spark, monk
     assert joined[0] <= 20 * len(rows)  # a row for each bucket that asks for its text; 1500 times as many where all rows meet
 
 
+def test_signatures_of_a_single_set_are_not_sorted_by_sets():
+    """Most signatures of a bucket come once; before, all were sorted by signature and set."""
+    sigs, sets = np.array([7, 3, 7, 9, 5, 5], dtype=np.uint64), np.array([2, 1, 1, 4, 6, 6])
+    frame = pd.DataFrame({"blob": [ngram_join._pack(sigs[:3], sets[:3]), ngram_join._pack(sigs[3:], sets[3:])]})
+    found = ngram_join._signature_groups(frame)
+    assert [x.tolist() for x in found] == [[5, 7, 7], [6, 1, 2], [0, 1], [1, 2]]
+    assert len(ngram_join.shared_signatures(frame)) == 1
+    alone = pd.DataFrame({"blob": [ngram_join._pack(sigs[:2], sets[:2])]})
+    assert [len(x) for x in ngram_join._signature_groups(alone)] == [0, 0, 0, 0] and ngram_join.shared_signatures(alone).empty
+
+
 def test_simhash_of_short_long_and_very_long_lines(spark):
     rng = random.Random(1)
     lines = [" ".join(words(rng, n, 50)) for n in (1, 2, 254, 255, 256, 510, 600)]
