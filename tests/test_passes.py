@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tallyboard.operators.shapes import first_of, ranked, with_leaders
 from tallyboard.plans import questions
 from tallyboard.schemas import DEALS_BOARD, WORK_ORDERS_BOARD
 from tallyboard.sources import derived, laid_out
+from tallyboard.sources.sinks import stage_table
 
 SF, AS_OF = "/root/testdata/sf0.001", derived.AS_OF
 
@@ -221,3 +223,22 @@ def test_bars_have_the_order_of_their_chart(spark):
             if chart in ("pipeline_stage", "top_deals"):
                 assert [r.value for r in bars] == sorted((r.value for r in bars), reverse=True)
     assert [r.key for r in of("work_orders", "count")][:5] == ["Completed", "In Progress", "Pending", "Delayed", "Cancelled"]
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """Before, they stayed until the driver collected its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())}
+
+    there = files()
+    rows = spark.range(10000).selectExpr("id % 100 as k").repartition(3, "k").groupBy("k").count()
+    table = stage_table(rows, "counts")
+    for _ in range(50):
+        if not (left := {f for f in files() - there if f.startswith("shuffle") and f.endswith(".data")}):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(name) == before and table.count() == 100
